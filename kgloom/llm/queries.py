@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kgloom.llm import canonical, components, formatdup, leakage, packing, pairs, splitter, survivor
+from kgloom.llm import canonical, components, formatdup, leakage, packing, pairs, pii, splitter, survivor
 from kgloom.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -71,8 +71,16 @@ def p9_documents(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaked_documents(leakage.find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items")))
 
 
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return pii.find_pii(table(spark, d, "documents")).select("doc_id", "pii_type", "found_text").distinct()
+
+
+def p10_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return pii.redact(table(spark, d, "documents"))
+
+
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (p1_found, p2_found, p3_found, p3_survivors, p5_found, p6_found, p6_pieces, p7_found, p7_collapsed, p8_found, p8_containers, p9_found, p9_documents)
+    f.__name__: f for f in (p1_found, p2_found, p3_found, p3_survivors, p5_found, p6_found, p6_pieces, p7_found, p7_collapsed, p8_found, p8_containers, p9_found, p9_documents, p10_found, p10_redacted)
 }
 
 _TRIM = r"regexp_replace({}, '^[\s\x{{00a0}}\x{{3000}}]+|[\s\x{{00a0}}\x{{3000}}]+$', '', 'g')"
@@ -84,6 +92,8 @@ def _trim(x: str) -> str:
 
 _SIG = _trim(r"regexp_replace(signature, '[\s\x{3000}]*[|｜]{1,2}[\s\x{3000}]*', '||', 'g')")
 
+_STAND_INS = ", ".join(repr(x) for x in components.STAND_INS)
+
 SQL: dict[str, str] = {
     "p3_found": f"""
 WITH f AS (SELECT {_SIG} AS sig, row_id, fact_id, fact_ids_text FROM facts),
@@ -102,10 +112,9 @@ FROM t WHERE length(x) > 800""",
     "p8_found": r"""
 SELECT DISTINCT doc_id FROM documents WHERE len(regexp_extract_all(lower(text), '[\x{4e00}-\x{9fff}]|[a-z0-9]+')) > 2048""",
     "p5_found": f"""
-WITH RECURSIVE p AS (
-  SELECT DISTINCT {_trim('entity')} AS a, {_trim('alias')} AS b FROM alias_relations WHERE entity IS NOT NULL AND alias IS NOT NULL),
-q AS (SELECT a, b FROM p WHERE a <> b AND a NOT IN ('', {', '.join(repr(x) for x in components.STAND_INS)}) AND b NOT IN ('', {', '.join(repr(x) for x in components.STAND_INS)})),
+WITH RECURSIVE p AS (SELECT DISTINCT {_trim('entity')} AS a, {_trim('alias')} AS b FROM alias_relations WHERE entity IS NOT NULL AND alias IS NOT NULL),
+q AS (SELECT a, b FROM p WHERE a <> b AND lower(a) NOT IN ('', {_STAND_INS}) AND lower(b) NOT IN ('', {_STAND_INS})),
 e AS (SELECT a, b FROM q UNION SELECT b, a FROM q),
-reach AS (SELECT a AS name, a AS other FROM e UNION SELECT reach.name, e.b FROM reach JOIN e ON reach.other = e.a WHERE e.b < reach.name OR true)
+reach AS (SELECT a AS name, a AS other FROM e UNION SELECT reach.name, e.b FROM reach JOIN e ON reach.other = e.a)
 SELECT min(other) AS group_name, name FROM reach GROUP BY name""",
 }
