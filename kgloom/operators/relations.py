@@ -19,7 +19,7 @@ def symmetric(facts: DataFrame) -> DataFrame:
 
 def relations_of(edges: DataFrame, entities: DataFrame, limit: int = 1000) -> DataFrame:
     """Up to ``limit`` relations a direction of each queried entity (qid, anchor), best confidence first."""
-    joined = edges.join(F.broadcast(entities.limit(10_000)), "anchor")
+    joined = edges.join(entities, "anchor")
     order = Window.partitionBy("qid", "direction").orderBy(F.desc_nulls_last("best_confidence"), "row_id")
     return joined.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= limit)
 

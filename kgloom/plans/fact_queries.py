@@ -34,14 +34,12 @@ def old_new(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 
 def probes(spark: SparkSession, d: str) -> DataFrame:
-    """Queried entities: the 40 names with the most facts, by their place."""
-    names = O.entity_stream(facts(spark, d)).groupBy("name").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "name").limit(40)
-    return names.select(F.row_number().over(Window.orderBy(F.desc("n"), "name")).alias("qid"), F.col("name").alias("anchor"))
+    """Queried entities: the subject of every fact whose row_id is divisible by 20."""
+    rows = facts(spark, d).filter("row_id % 20 = 0 and subject != ''")
+    return rows.groupBy(F.col("subject").alias("anchor")).agg(F.min("row_id").alias("qid"))
 
 
-_PROBES = """probes AS (
-SELECT row_number() OVER (ORDER BY n DESC, name) AS qid, name AS anchor FROM (
-  SELECT name, count(*) AS n FROM (SELECT subject AS name FROM f UNION ALL SELECT object FROM f) WHERE name <> '' GROUP BY name ORDER BY n DESC, name LIMIT 40))"""
+PROBES = "probes AS (SELECT subject AS anchor, min(row_id) AS qid FROM f WHERE row_id % 20 = 0 AND subject <> '' GROUP BY subject)"
 
 _OLD = f"old AS (SELECT * FROM f WHERE extracted_at < TIMESTAMP '{CUTOFF}'), new AS (SELECT * FROM f WHERE extracted_at >= TIMESTAMP '{CUTOFF}' OR extracted_at IS NULL)"
 _DELTA = f"""fresh AS (SELECT * FROM new ANTI JOIN (SELECT DISTINCT {KEY} FROM old) o USING ({KEY})),
@@ -203,11 +201,11 @@ QUERIES = {
     "book_facts_tiered": q_book_tier,
 }
 
-_GENERIC = "('', 'entity', 'other')"
+GENERIC = "('', 'entity', 'other')"
 
 
 def _first_specific(v: str, seq: str) -> str:
-    return f"coalesce(arg_min({v}, {seq}) FILTER ({v} NOT IN {_GENERIC}), arg_min({v}, {seq}))"
+    return f"coalesce(arg_min({v}, {seq}) FILTER ({v} NOT IN {GENERIC}), arg_min({v}, {seq}))"
 
 
 def _merged(source: str, seq: str) -> str:
@@ -219,14 +217,14 @@ LEFT JOIN (
       SELECT *, unnest(ids) AS id, generate_subscripts(ids, 1) AS pos FROM {source}) GROUP BY ALL) GROUP BY {KEY}) i USING ({KEY})"""
 
 
-_CLUSTER = """SELECT {by}, predicate, target, direction, count(*) AS evidence_count, round_even(avg(best_confidence), 4) AS avg_confidence, max(best_confidence) AS max_confidence,
+CLUSTER = """SELECT {by}, predicate, target, direction, count(*) AS evidence_count, round_even(avg(best_confidence), 4) AS avg_confidence, max(best_confidence) AS max_confidence,
   count(DISTINCT source_book) AS book_count, count(DISTINCT (source_book, source_chapter)) AS chapter_count,
   array_to_string(list_sort(list(DISTINCT source_book))[1:5], '|') AS books,
   arg_max(coalesce(best_source_text, ''), {{'c': coalesce(best_confidence, -1), 'n': length(coalesce(best_source_text, '')), 'r': -row_id}}) AS best_text,
   arg_max(target_type, {{'c': coalesce(best_confidence, -1), 'n': length(coalesce(best_source_text, '')), 'r': -row_id}}) AS target_type
 FROM {source} GROUP BY {by}, predicate, target, direction"""
 
-_REL = f"""WITH {CF}, {SYM}, {_PROBES}, rel AS (
+REL = f"""WITH {CF}, {SYM}, {PROBES}, rel AS (
 SELECT qid, s.*, row_number() OVER (PARTITION BY qid, direction ORDER BY best_confidence DESC NULLS LAST, row_id) AS place FROM s JOIN probes USING (anchor))"""
 
 _TIE = "predicate, target, direction"
@@ -270,9 +268,9 @@ FROM (SELECT source_book, count(*) AS n FROM old GROUP BY ALL) a FULL JOIN (SELE
 SELECT subject, subject_type, votes FROM (SELECT *, row_number() OVER (PARTITION BY subject ORDER BY votes DESC, first) AS k FROM c) WHERE k = 1""",
     "evidence_insert_or_ignore": f"""WITH e AS (SELECT *, {trim('fact_id')} AS fid FROM evidence), old AS (SELECT * FROM e WHERE recorded_at < TIMESTAMP '{CUTOFF}')
 SELECT min(evidence_id) AS evidence_id, fid AS fact_id FROM e WHERE (recorded_at >= TIMESTAMP '{CUTOFF}' OR recorded_at IS NULL) AND fid <> '' AND fid NOT IN (SELECT fid FROM old) GROUP BY fid""",
-    "entity_relations": f"{_REL} SELECT qid, anchor, direction, place, predicate, target, target_type, row_id FROM rel WHERE place <= 20",
-    "relation_clusters": f"WITH {CF}, {SYM} {_CLUSTER.format(by='anchor', source='s')}",
-    "entity_lookup": f"""{_REL}, c AS ({_CLUSTER.format(by='qid, anchor', source='(SELECT * FROM rel WHERE place <= 1000)')}),
+    "entity_relations": f"{REL} SELECT qid, anchor, direction, place, predicate, target, target_type, row_id FROM rel WHERE place <= 20",
+    "relation_clusters": f"WITH {CF}, {SYM} {CLUSTER.format(by='anchor', source='s')}",
+    "entity_lookup": f"""{REL}, c AS ({CLUSTER.format(by='qid, anchor', source='(SELECT * FROM rel WHERE place <= 1000)')}),
 r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY evidence_count DESC, {_TIE}) AS rank_support,
   row_number() OVER (PARTITION BY qid ORDER BY max_confidence DESC NULLS LAST, avg_confidence DESC NULLS LAST, {_TIE}) AS rank_confidence,
   row_number() OVER (PARTITION BY qid ORDER BY book_count DESC, chapter_count DESC, {_TIE}) AS rank_spread,
@@ -280,7 +278,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY evidence_count DESC
 t AS (SELECT *, 1.0::DOUBLE / (20 + rank_support) + 1.0::DOUBLE / (20 + rank_confidence) + 1.0::DOUBLE / (20 + rank_spread) + 1.0::DOUBLE / (20 + rank_text) AS total FROM r),
 n AS (SELECT *, round(total / max(total) OVER (PARTITION BY qid), 6) AS fusion FROM t)
 SELECT * FROM (SELECT qid, anchor, row_number() OVER (PARTITION BY qid ORDER BY fusion DESC, {_TIE}) AS place, predicate, target, direction, evidence_count, fusion, rank_support, rank_confidence, rank_spread, rank_text FROM n) WHERE place <= 12""",
-    "relation_score": f"""WITH {CF}, {SYM}, c AS ({_CLUSTER.format(by='anchor, source_book', source='s').replace("count(DISTINCT source_book) AS book_count, ", "")}),
+    "relation_score": f"""WITH {CF}, {SYM}, c AS ({CLUSTER.format(by='anchor, source_book', source='s').replace("count(DISTINCT source_book) AS book_count, ", "")}),
 q AS (SELECT *, source_book || '载' || anchor || '与' || target AS query FROM c)
 SELECT anchor, max(round((CASE WHEN predicate <> '' AND contains(query, predicate) THEN 20.0 ELSE 0.0 END + CASE WHEN target <> '' AND contains(query, target) THEN 18.0 ELSE 0.0 END
   + CASE WHEN source_book <> '' AND contains(query, source_book) THEN 80.0 ELSE 0.0 END + CASE WHEN contains(best_text, target) THEN 5.0 ELSE 0.0 END)::DOUBLE
