@@ -37,7 +37,12 @@ def cut(df: DataFrame) -> DataFrame:
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="kgloom-"))
-    return df.checkpoint(eager=True)
+    done = df.checkpoint(eager=True)
+    # A checkpointed plan keeps the constraints of the plan before it, and those of a self-join are the product of
+    # both sides': over the rounds of an iterative operator planning would come to take longer than the work.
+    session = df.sparkSession
+    rows = session._jsparkSession.internalCreateDataFrame(done._jdf.queryExecution().toRdd(), done._jdf.schema(), False)
+    return DataFrame(rows, session)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
