@@ -69,7 +69,8 @@ def surviving_facts(facts: DataFrame, evidence: DataFrame) -> DataFrame:
     the rest comes from the latest row; the smaller row_id decides ties. Nulls never beat a value.
     """
     groups = duplicate_groups(facts)
-    rows = facts.withColumn("sig", signature_key("signature")).join(groups, "sig")
+    used = ["row_id", "subject", "predicate", "object", "source_book", "source_chapter", "dataset_scope", "fact_id", "subject_type", "object_type", "best_source_text", "best_confidence", "extracted_at"]
+    rows = facts.select(signature_key("signature").alias("sig"), *used).join(groups, "sig")
     settled = lambda c: ~F.lower(norm(c)).isin(*UNSETTLED)
     filled = sum((settled(c).cast("int") for c in ("subject_type", "object_type")), F.lit(0)) + (~blank("best_source_text")).cast("int") + F.col("best_confidence").isNotNull().cast("int")
     newest = F.coalesce(F.col("extracted_at"), F.lit("0001-01-01").cast("timestamp"))
