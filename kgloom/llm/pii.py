@@ -63,7 +63,7 @@ _NAME_BEFORE = r"(?:姓名|记录人|抄者|抄写人|其[母父妻夫子女兄
 _NAME_AFTER = r"(?:携|谨识|谨记|代述|代诉|同来|同行|口述|垫付|自述|来诊|[，,]年|[，,]下|先生|女士|[；;）)]|[。\n])"
 _BEFORE = re.compile(_NAME_BEFORE + "$")
 _AFTER = re.compile(_NAME_AFTER)
-_ZH_CUED = re.compile(rf"{_NAME_BEFORE}(?P<full>{_HAN}{{2,4}})|(?:^|(?<=[。！？\n 　]))(?P<open>{_SURNAME}{_HAN}{{1,2}})(?=[，,](?:年|下))|(?P<late>{_SURNAME}{_HAN}{{1,2}})(?=携|谨识|代述|同来|口述|垫付|自述|[，,]年[一二三四五六七八九十])")
+_ZH_CUED = re.compile(rf"(?={_NAME_BEFORE}(?P<full>{_HAN}{{2,4}}))|(?:^|(?<=[。！？\n 　]))(?P<open>{_SURNAME}{_HAN}{{1,2}})(?=[，,](?:年|下))|(?P<late>{_SURNAME}{_HAN}{{1,2}})(?=携|谨识|代述|同来|口述|垫付|自述|[，,]年[一二三四五六七八九十])")
 _EN_NAME = re.compile(r"\b[A-Z][a-z]+(?: [A-Z]\.)? [A-Z][a-z]+(?:-[A-Z][a-z]+)?")
 _NO_FIRST = frozenset("As The A An Compare Dried Take When On No Do Season Physicians She He It Call Phone Tel Write Contact Resident Patient Ledger Lot Identity Document In At By For And But Or If This That".split())
 _EN_BEFORE = re.compile(r"(?:Patient:|signed by|As|by|Mr\.?|Mrs\.?|Ms\.?|Dr\.?|Dear|name:|Name:|from|witness)\s+$")
