@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from kgloom.operators.records import dense_numbers
+
 
 def ir_metrics(hits: DataFrame, relevant: DataFrame, queries: DataFrame, k: int, *, qkey: str = "qid", key: str = "doc_id") -> DataFrame:
     """Of each query hit@1, hit@k, reciprocal rank and NDCG over its first k hits.
@@ -120,10 +122,10 @@ def distractors(cases: DataFrame, pool: DataFrame, n: int, ring: int, key: str =
     The pool is put on a ring of numbered places in hash order. A case starts at the place its own hash gives
     and looks at ``ring`` items, which must be at least n plus its answers; so no product with the pool is formed.
     """
-    size = pool.select("item").distinct().count()
-    places = pool.select("item").distinct().withColumn("place", F.row_number().over(Window.orderBy(F.md5("item"), "item")) - 1)
+    places = dense_numbers(pool.select("item").distinct().withColumn("h", F.md5("item")), ["h", "item"]).drop("h")
+    size = places.count()
     start = F.pmod(F.conv(F.substring(F.md5(F.col(key).cast("string")), 1, 12), 16, 10).cast("long"), F.lit(max(1, size)))
-    seats = cases.select(key, "answers", F.explode(F.sequence(F.lit(0), F.lit(ring - 1))).alias("i")).withColumn("place", ((start + F.col("i")) % max(1, size)).cast("int"))
+    seats = cases.select(key, "answers", F.explode(F.sequence(F.lit(0), F.lit(ring - 1))).alias("i")).withColumn("place", ((start + F.col("i")) % max(1, size)))
     met = seats.join(places, "place").filter(~F.array_contains("answers", F.col("item")))
     order = Window.partitionBy(key).orderBy("i")
     return met.withColumn("option", F.row_number().over(order)).filter(F.col("option") <= n).select(key, "option", "item")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kgloom.functions.text import norm
+from kgloom.session import cut
 
 
 def json_terms(c: str) -> Column:
@@ -109,6 +110,19 @@ def token_counts(rows: DataFrame, by: str, tokens: Column) -> DataFrame:
     return rows.groupBy(by).agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.size(tokens)), F.lit(0)).cast("long").alias("tokens"))
 
 
+def dense_numbers(rows: DataFrame, order: list[str], name: str = "place") -> DataFrame:
+    """Rows numbered from 0 in a total order, range by range: no task holds more than its range, the driver one count a range."""
+    ranged = cut(rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    counts = sorted(ranged.groupBy("_range").count().collect())
+    starts, at = {}, 0
+    for r in counts:
+        starts[r["_range"]] = at
+        at += r["count"]
+    first = F.create_map(*[F.lit(x) for p in starts.items() for x in p])[F.col("_range")] if starts else F.lit(0)
+    n = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    return ranged.withColumn(name, (first + n - 1).cast("long")).drop("_range")
+
+
 def required(rows: DataFrame, columns: list[str]) -> DataFrame:
     """rows whose listed columns all hold text."""
     out = rows
