@@ -64,5 +64,5 @@ WHERE {trim('e.entity_type')} <> '' AND {trim('e.name')} <> '' AND {trim('f.fact
     "expectation_score": f"SELECT record_id, CASE WHEN coalesce(chief_complaint, '') = '' THEN CASE WHEN len({_SY}) > 0 THEN 1.0 ELSE 0.0 END ELSE list_contains({_SY}, chief_complaint)::INT::DOUBLE END AS score FROM case_records",
     "backend_report": "SELECT source_book, count(*) AS cases, count(*) FILTER (confidence >= 0.8) AS ok_cases, round(avg(confidence) FILTER (confidence >= 0.8), 6) AS mean_ms, round(avg(confidence), 6) AS mean_score FROM evidence GROUP BY source_book",
     "provider_attempts": "SELECT source_book, sum(CASE WHEN support - 1 > 0 THEN support - 1 ELSE support + 1 END)::BIGINT AS attempts FROM alias_relations GROUP BY source_book",
-    "match_rates": f"SELECT collection, round(avg(({_KW} = list_sort({_KW}))::INT), 6) AS before_rate, 1.0 AS after_rate, 1.0 AS reduced_rate FROM qa_records GROUP BY collection",
+    "match_rates": f"SELECT collection, round(avg(({_KW} = list_sort({_KW}))::INT), 6) AS before_rate, 1.0::DOUBLE AS after_rate, 1.0::DOUBLE AS reduced_rate FROM qa_records GROUP BY collection",
 }
