@@ -13,6 +13,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -52,7 +53,15 @@ _IDS = (
 _HAN = "[一-鿿]"
 _NUM = "(?:[0-9]+|[〇零一二三四五六七八九十百]+)"
 _ROAD = rf"{_HAN}{{2}}(?:大道|胡同|路|街|巷|弄|里|村|屯|庄)"
-_ZH_ADDRESS = re.compile(rf"(?:{_HAN}{{2}}(?:省|市|县|区|镇|乡))*{_ROAD}(?:{_NUM}组)?(?:{_NUM}弄)?{_NUM}号(?:院|楼)?(?:{_NUM}(?:号楼|栋|幢))?(?:{_NUM}单元)?(?:{_NUM}[楼层])?(?:{_NUM}室)?")
+_PLACE_END = "省市县区镇乡州盟旗"
+_HOUSE_NO = f"[甲乙丙丁附特临]?{_NUM}[甲乙丙丁A-Za-z]?(?:[-之]{_NUM})*号(?:之{_NUM}|附{_NUM}号)?"
+#: The end of a road's name and all that follows; where the address starts is left to overlapping candidates.
+_ZH_HOUSE = re.compile(rf"(?:(?<=大)道|(?<=胡)同|[路街巷弄里村屯庄])(?:{_NUM}组)?(?:{_NUM}弄)?{_HOUSE_NO}(?:院|楼)?(?:{_NUM}(?:号楼|栋|幢))?(?:{_NUM}单元)?(?:{_NUM}[楼层])?(?:{_NUM}室)?")
+#: The most ideographs of a place's name, of a road's, and what stands before an address, surely or perhaps.
+PLACE_LENGTH, ROAD_LENGTH = 14, 8
+_ZH_CUE = re.compile(r"(?:家住|现住|住在|居住在|住址|地址|寓居|现寓|寓居于|送至|送到|寄至|寄到|寄往|位于|坐落于|住|寓)[为是：: ]*$")
+_ZH_MAYBE = re.compile(r"[在于至到往是为由从距离]$")
+_ZH_NOT_NAME = re.compile(r"[在于至到往是为由从住寓我他她你其]")
 _ZH_PLACE = re.compile(rf"(?:{_HAN}{{2}}(?:省|市|县|区|镇|乡))+(?:{_ROAD})?|{_ROAD}")
 _EN_ROAD = r"(?:Road|Close|Street|Lane|Avenue|Way|Drive|Court|Place|Square|Terrace|Row|Rd|St|Ave)"
 _EN_ADDRESS = re.compile(rf"(?<![\d\-])\d{{1,5}}[A-Za-z]? (?:[A-Z][a-z]+ ){{1,4}}{_EN_ROAD}\b\.?(?:, (?:[A-Z][a-z]+(?: [A-Z][a-z]+)?))*")
@@ -105,8 +114,8 @@ def candidates(text: str, plain: str) -> list[Span]:
                         found.add(Span(kind, m.start() + m[0].index(" ") + 1, m.end()))
         for m in _EN_ADDRESS.finditer(plain):
             add("address", m)
-    for m in _ZH_ADDRESS.finditer(plain):
-        add("address", m)
+    for m in _ZH_HOUSE.finditer(plain):
+        found.update(Span("address", a, m.end()) for a in zh_starts(plain, road_end(m)))
     for m in _ZH_PLACE.finditer(plain):
         add("address", m)
     for m in _EN_PLACE.finditer(plain) if re.search("[a-z]", plain) else ():
@@ -128,6 +137,44 @@ def candidates(text: str, plain: str) -> list[Span]:
     return sorted(found, key=lambda s: (s.start, s.end, s.kind))
 
 
+def road_end(m: re.Match) -> int:
+    """Where the name of the road is over and its kind begins."""
+    return m.start() - (m[0][0] in "道同")
+
+
+@lru_cache(maxsize=256)
+def zh_starts(plain: str, road: int) -> tuple[int, ...]:
+    """All starts, last first, from which ideographs up to ``road`` read as names of places and one of a road."""
+    starts: list[int] = []
+    a, known = road - 1, set()
+    while a >= 0 and "一" <= plain[a] <= "鿿" and a >= (starts[-1] if starts else road) - PLACE_LENGTH - 1:
+        if road - a <= ROAD_LENGTH or any(plain[p] in _PLACE_END and p + 1 in known for p in range(a + 1, min(road - 1, a + PLACE_LENGTH) + 1)):
+            starts.append(a)
+            known.add(a)
+        a -= 1
+    return tuple(starts)
+
+
+@lru_cache(maxsize=256)
+def zh_guess(plain: str, road: int) -> tuple[int | None, bool]:
+    """The likeliest start, and whether a cue or a short name after a mark makes it sure."""
+    starts = zh_starts(plain, road)
+    if not starts:
+        return None, False
+    end = lambda a: next((p for p in range(a + 1, road) if plain[p] in _PLACE_END and p + 1 in starts), road)
+    short = lambda a: end(a) - a <= 4 and not _ZH_NOT_NAME.search(plain, a, end(a))
+    for a in starts:
+        if _ZH_CUE.search(plain, max(0, a - 8), a):
+            return a, True
+    for a in starts:
+        if _ZH_MAYBE.search(plain, max(0, a - 8), a):
+            return a, short(a)
+    a = starts[-1]
+    if not a or not "一" <= plain[a - 1] <= "鿿":
+        return a, short(a)
+    return max(a, end(a) - 3), False
+
+
 def _date_like(digits: str) -> bool:
     return len(digits) >= 14 and 1850 <= int(digits[6:10]) <= 2035 and 1 <= int(digits[10:12]) <= 12 and 1 <= int(digits[12:14]) <= 31
 
@@ -152,6 +199,8 @@ def features(plain: str, s: Span) -> list[float]:
         own = [float(_date_like(digits)), float(t[-1:] in "Xx"), float(t[:1].isalpha()), float(len(digits) in (17, 18)), float(len(digits) > 18)]
     elif s.kind == "address":
         own = [float("号" in t), float(bool(re.search(_EN_ROAD, t))), len(re.findall("[省市县区镇乡]", t)), float(bool(re.search("[室楼层]", t))), float(t[:1].isdigit()), t.count(","), float(bool(re.search(r"[路街巷弄里村道]", t)))]
+        house = _ZH_HOUSE.search(plain, s.start, s.end)
+        own += [float(house is None or s.start == zh_guess(plain, road_end(house))[0]), float(bool(_ZH_CUE.search(left))), float(bool(_ZH_MAYBE.search(left))), float("一" <= before <= "鿿"), float(before != "" and before in _PLACE_END)]
     else:
         known = _surname(t)
         own = [known, len(t) - known, float(t[:1].isascii()), float(bool(_BEFORE.search(left))), float(bool(_AFTER.match(right))), float(bool(_EN_BEFORE.search(left))), float(bool(_EN_AFTER.match(right))), float(t in ("未录", "阙名", "佚名", "无名")), float(bool(re.search("[某代述口同来自谨携垫付，]", t[1:])))]
@@ -181,6 +230,10 @@ def weak_label(plain: str, s: Span) -> int | None:
     if s.kind == "address":
         if t[:1].isdigit() and re.search(_EN_ROAD, t):
             return 1 if not right.startswith(", ") or not right[2:3].isupper() else None
+        if house := _ZH_HOUSE.search(plain, s.start, s.end):
+            first, sure = zh_guess(plain, road_end(house))
+            if s.start != first or not sure:
+                return 0 if sure else None
         return int(bool(re.search(rf"{_NUM}(号|室|楼|层)", t)) and not re.match(rf"{_NUM}?(号|单元|室|楼)", right))
     if t[:1].isascii():
         return int(bool(_EN_BEFORE.search(left) or _EN_AFTER.match(right)) and not re.match("-[A-Z]", right))
@@ -222,6 +275,9 @@ LESSONS = tuple(
         f"Identity no. 110101 {1950 + k}0704 {k:04d}. Lot 11010119881345{k:05d} was dried. Document shown: EX53212{k:02d}.",
         f"护照或证件：EX53210{k:02d}。刻本序号第15413{k:02d}叶。",
         f"家住清溪市北岸区长宁路{k + 1}号{k + 2}单元{k + 3}0{k}室。长宁路旧有药肆。",
+        f"寄往黑龙江省哈尔滨市道里区人民中路{k + 1}号。上月迁往清河镇东街{k + 5}号，石家庄市旧有药肆。",
+        f"服后痛减现寓建国门外大街甲{k + 1}号，药包送至呼和浩特市新城区成吉思汗大街附{k + 2}号之{k + 3}。",
+        f"黑龙江省哈尔滨市道里区人民中路{k + 1}号。前门大街{k + 2}号，旧有药肆。病家在清河镇东街{k + 5}号设铺。",
         f"地址：石桥镇东门巷{'一二三四五六七八九十'[k % 10]}十号三楼",
         f"Resident at {k + 11} Mill Hill Road, Eastham. Mill Bend was once a market.",
         f"电邮：wang.lei{k}@mail.example。注家@旁批仅三字。",

@@ -321,6 +321,24 @@ def test_find_and_redact(frame):
     assert pii.find_pii(docs.filter("false")).count() == 0
 
 
+@pytest.mark.parametrize(
+    ("before", "address", "after"),
+    [
+        ("家住", "石家庄市长安区中山东路12号3单元", "，次日复诊。"),
+        ("", "黑龙江省哈尔滨市道里区人民中路8号", "。"),
+        ("药包送至", "清河镇东街5号", "。"),
+        ("服后痛减现寓", "建国门外大街甲6号", "。"),
+        ("病家在", "清河镇东街5号", "设铺"),
+        ("寄往", "双江拉祜族佤族布朗族傣族自治县勐勐镇南路附12号之3", "。"),
+        ("地址:", "沪太路1弄2-3号5楼501室", "。"),
+    ],
+)
+def test_addresses_of_any_length(before, address, after):
+    whole = before + address + after
+    found = pii.Finder(pii.train([])).spans([whole])[0]
+    assert [whole[s.start : s.end] for s, _ in found if s.kind == "address"] == [address]
+
+
 def test_boosting_learns_and_holds_out():
     rng = np.random.default_rng(10)
     x = rng.random((2000, 4))
