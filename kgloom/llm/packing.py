@@ -1,15 +1,17 @@
 """Problem 8: documents packed into containers of fixed capacity, related ones together.
 
 The corpus is cut into shards of bounded size where it lies, without moving texts. Each shard has an inverted
-index with BM25 weights. The largest unused document is the seed of a container; the index returns its unused
-neighbours by score, which fill the container greedily, and what space is left takes the largest documents
-that still fit. Only a document above the capacity is split: into full containers and a rest that is packed
+index with BM25 weights; document frequencies and the mean length are those of the whole corpus, counted in a
+pass before. The largest unused document is the seed of a container; its unused neighbours that fit are taken by
+score until the container is full or none is left that shares a term, and what space is left takes the largest
+documents that still fit. Only a document above the capacity is split: into full containers and a rest that is packed
 like a document. Containers that a shard could not fill are opened again and packed across shards by size.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -48,28 +50,43 @@ def tokenize(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return docs, terms, np.bincount(docs, minlength=len(texts))
 
 
+@dataclass(frozen=True)
+class Corpus:
+    """Documents, mean length, and the document frequency of each term that stands in more than one; others have 1."""
+
+    n: int
+    mean: float
+    terms: np.ndarray
+    df: np.ndarray
+
+    def frequency(self, terms: np.ndarray) -> np.ndarray:
+        if not len(self.terms):
+            return np.ones(len(terms), "i8")
+        at = np.minimum(np.searchsorted(self.terms, terms), len(self.terms) - 1)
+        return np.where(self.terms[at] == terms, self.df[at], 1)
+
+
 class Shard:
-    """Inverted BM25 index of some documents."""
+    """Inverted BM25 index of some documents; without ``corpus`` they are all there are."""
 
-    def __init__(self, docs: np.ndarray, terms: np.ndarray, n: int) -> None:
-        _, term = np.unique(terms, return_inverse=True)
+    def __init__(self, docs: np.ndarray, terms: np.ndarray, n: int, corpus: Corpus | None = None) -> None:
+        names, term = np.unique(terms, return_inverse=True)
         pair, tf = np.unique(term.astype("i8") * n + docs, return_counts=True)
         self.term, self.doc, self.n = pair // n, pair % n, n
         length = np.bincount(docs, minlength=n)
-        df = np.bincount(self.term)
-        idf = np.log((n - df + 0.5) / (df + 0.5) + 1)
-        self.start = np.concatenate([[0], np.cumsum(df)])
-        self.weight = idf[self.term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[self.doc] / max(length.mean(), 1)))
-        order = np.lexsort((self.term, -self.weight, self.doc))
+        here = np.bincount(self.term, minlength=len(names))
+        df, total, mean = (corpus.frequency(names), corpus.n, corpus.mean) if corpus else (here, n, length.mean())
+        idf = np.log((total - df + 0.5) / (df + 0.5) + 1)
+        self.start = np.concatenate([[0], np.cumsum(here)])
+        self.weight = idf[self.term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[self.doc] / max(mean, 1)))
+        order = np.lexsort((self.term, self.doc))
         self.by_doc, self.doc_start = self.term[order], np.concatenate([[0], np.cumsum(np.bincount(self.doc, minlength=n))])
 
-    def scores(self, seed: int, width: int = 12) -> np.ndarray:
-        """BM25 of all documents for the heaviest terms of the seed."""
-        picked = self.by_doc[self.doc_start[seed] : self.doc_start[seed + 1]][:width]
-        spans = [np.arange(self.start[t], self.start[t + 1]) for t in picked]
-        if not spans:
-            return np.zeros(self.n)
-        at = np.concatenate(spans)
+    def scores(self, seed: int) -> np.ndarray:
+        """BM25 of all documents for the terms of the seed."""
+        picked = self.by_doc[self.doc_start[seed] : self.doc_start[seed + 1]]
+        size = self.start[picked + 1] - self.start[picked]
+        at = np.arange(size.sum()) + np.repeat(self.start[picked] - np.cumsum(size) + size, size)
         return np.bincount(self.doc[at], self.weight[at], self.n)
 
 
@@ -99,23 +116,24 @@ class BySize:
 
 
 def fill_containers(sizes: np.ndarray, capacity: int, shard: Shard | None, owner: np.ndarray, keep: int = 64) -> list[list[int]]:
-    """Items of each container. owner: the shard document that an item belongs to. No shard: by size alone."""
+    """Items of each container. owner: the shard document that an item belongs to. No shard: by size alone.
+
+    ``keep`` is how many neighbours are sorted at a time; the next ones follow while there is room.
+    """
     left, out = BySize(sizes, capacity), []
-    items_of: dict[int, list[int]] = {}
-    for i, d in enumerate(owner):
-        items_of.setdefault(int(d), []).append(i)
     while (seed := left.largest(capacity)) is not None:
         left.take(seed)
         held, room = [seed], capacity - int(sizes[seed])
         if shard is not None and room > 0:
-            score = shard.scores(int(owner[seed]))
-            near = np.argpartition(-score, min(keep, len(score) - 1))[:keep]
-            for d in near[np.lexsort((near, -score[near]))]:
-                for i in items_of.get(int(d), ()) if score[d] > 0 else ():
-                    if not left.used[i] and sizes[i] <= room:
+            score = shard.scores(int(owner[seed]))[owner]
+            while len(fits := np.flatnonzero((score > 0) & ~left.used & (sizes <= room))):
+                near = fits[np.argpartition(-score[fits], keep - 1)[:keep]] if len(fits) > keep else fits
+                for i in near[np.lexsort((near, -score[near]))].tolist():
+                    if sizes[i] <= room:
                         left.take(i)
                         held.append(i)
                         room -= int(sizes[i])
+                score[near] = 0
         while (i := left.largest(room)) is not None:
             left.take(i)
             held.append(i)
@@ -124,17 +142,33 @@ def fill_containers(sizes: np.ndarray, capacity: int, shard: Shard | None, owner
     return out
 
 
-def pack_shard(name: str, ids: list, texts: list[str], capacity: int, least_fill: float) -> pd.DataFrame:
+def pack_shard(name: str, ids: list, texts: list[str], capacity: int, least_fill: float, corpus: Corpus | None = None) -> pd.DataFrame:
     docs, terms, counts = tokenize(texts)
     parts = np.maximum(1, -(-counts // capacity))
     rows = [(f"{name}-{ids[d]}-{p}", ids[d], p, int(parts[d]), capacity, capacity, False) for d in np.flatnonzero(parts > 1) for p in range(int(parts[d]) - 1)]
     sizes = counts - (parts - 1) * capacity
-    for k, held in enumerate(fill_containers(sizes, capacity, Shard(docs, terms, len(ids)), np.arange(len(ids)))):
+    for k, held in enumerate(fill_containers(sizes, capacity, Shard(docs, terms, len(ids), corpus), np.arange(len(ids)))):
         fill = int(sizes[held].sum())
         rows += [(f"{name}-{k}", ids[i], int(parts[i]) - 1, int(parts[i]), int(sizes[i]), fill, fill < least_fill * capacity) for i in held]
     return pd.DataFrame(rows, columns=["container_id", "doc_id", "part_no", "n_parts", "n_tokens", "fill", "open"])
 
 
+def count_corpus(df: DataFrame, text: str, shards: Callable) -> Corpus:
+    """One pass over all texts. Terms of a single document stay off the driver; they need no entry."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for _, texts in shards((b.assign(_k=0) for b in batches), "_k", text):
+            docs, terms, counts = tokenize(texts)
+            names, term = np.unique(terms, return_inverse=True)
+            held = np.bincount(np.unique(term.astype("i8") * len(texts) + docs) // len(texts), minlength=len(names))
+            yield pd.DataFrame({"term": np.append(names, [-1, -2]), "n": np.append(held, [len(texts), counts.sum()])})
+
+    rows = df.select(text).mapInPandas(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).filter("n > 1 or term < 0").toPandas().sort_values("term")
+    terms, n = rows["term"].to_numpy("i8"), rows["n"].to_numpy("i8")
+    total, tokens = int(n[terms == -1].sum()), int(n[terms == -2].sum())
+    return Corpus(total, tokens / max(1, total), terms[terms >= 0], n[terms >= 0])
+
+
 def pack_documents(
     df: DataFrame, *, key: str = "doc_id", text: str = "text", capacity: int = 2048, shard_docs: int = 2048, shard_chars: int = 2_000_000, least_fill: float = 0.98, regroup: int = 512
 ) -> DataFrame:
@@ -145,18 +179,25 @@ def pack_documents(
     """
     schema = _SCHEMA.format(kind=dict(df.dtypes)[key])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        task, ids, texts, chars, n = TaskContext.get().partitionId(), [], [], 0, 0
+    def shards(batches: Iterator[pd.DataFrame], key: str, text: str) -> Iterator[tuple[list, list[str]]]:
+        ids, texts, chars = [], [], 0
         for b in batches:
             for i, t in zip(b[key].tolist(), b[text], strict=True):
                 ids.append(i)
                 texts.append(t or "")
                 chars += len(texts[-1])
                 if len(ids) >= shard_docs or chars >= shard_chars:
-                    yield pack_shard(f"{task}.{n}", ids, texts, capacity, least_fill)
-                    ids, texts, chars, n = [], [], 0, n + 1
+                    yield ids, texts
+                    ids, texts, chars = [], [], 0
         if ids:
-            yield pack_shard(f"{task}.{n}", ids, texts, capacity, least_fill)
+            yield ids, texts
+
+    corpus = df.sparkSession.sparkContext.broadcast(count_corpus(df, text, shards))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        task = TaskContext.get().partitionId()
+        for n, (ids, texts) in enumerate(shards(batches, key, text)):
+            yield pack_shard(f"{task}.{n}", ids, texts, capacity, least_fill, corpus.value)
 
     def again(group: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["doc_id", "part_no"], kind="stable").reset_index(drop=True)

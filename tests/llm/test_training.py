@@ -258,6 +258,27 @@ def test_neighbours_share_words():
     assert packing.Shard(docs, terms, 4).scores(0).argsort()[-2:].tolist() == [1, 0]
 
 
+def test_all_unused_neighbours_come_before_strangers():
+    texts = ["甘草桂枝" * 24] * 10 + ["甘草桂枝" * 2] * 100 + [chr(0x5000 + i) * 16 for i in range(100)]
+    docs, terms, sizes = packing.tokenize(texts)
+    held = packing.fill_containers(sizes, 160, packing.Shard(docs, terms, len(texts)), np.arange(len(texts)))
+    assert sorted(len({i < 110 for i in c}) for c in held) == [1] * 21 and sum(c[0] < 110 for c in held) == 11
+
+
+def test_weights_are_of_the_corpus(frame):
+    rows = [(i, "甘草" if i % 2 else "甘桂 rare") for i in range(40)] + [(99, None)]
+    df = frame(rows, "doc_id long, text string").repartition(4)
+
+    def shards(batches, key, text):
+        for b in batches:
+            yield b[key].tolist(), [t or "" for t in b[text]]
+
+    corpus = packing.count_corpus(df, "text", shards)
+    assert (corpus.n, round(corpus.mean, 6)) == (41, round((20 * 2 + 20 * 3) / 41, 6))
+    docs, terms, _ = packing.tokenize(["甘草 rare new"])
+    assert sorted(corpus.frequency(np.unique(terms)).tolist()) == [1, 20, 20, 40]
+
+
 # 9: leakage
 
 
