@@ -94,7 +94,7 @@ def resumed(spark: SparkSession, path: str) -> DataFrame:
 
 def pending(spark: SparkSession, path: str, done: DataFrame) -> DataFrame:
     """ST3: streamed events whose user is not in the static set of done ones."""
-    stream = read_stream(spark, path, EVENTS).join(F.broadcast(done.select("user_id").distinct().limit(1_000_000)), "user_id", "left_anti")
+    stream = read_stream(spark, path, EVENTS).join(done.select("user_id").distinct(), "user_id", "left_anti")
     root = scratch(spark, "pending")
     run(stream.select("event_id", "user_id"), append_batches(root), scratch(spark, "pending-progress"))
     return spark.read.parquet(root).select("event_id", "user_id")
