@@ -2,8 +2,9 @@
 
 Boundaries of a text are kept as one sorted array of offsets, with the rank of each (line break, sentence
 end, other mark or space). Token sizes are prefix sums over the text, so that a limit in tokens becomes an
-offset; with the default of one token a character the prefix sum is the offset itself. A piece ends at the
-last boundary under the limit, found by binary search; the next begins the overlap before that end. Without
+offset; with the default of one token a character the prefix sum is the offset itself. A piece ends at a
+line break or sentence end under the limit where there is one, else at the last other mark, found by binary search;
+the next begins the overlap before that end. Without
 any boundary among the new characters the cut is hard, at the limit.
 """
 
@@ -49,7 +50,8 @@ def cut_points(text: str, limit: int, overlap: int, sizes: list[int] | None = No
     """(start, end, kind) of the pieces. kind: 'line', 'sentence', 'mark', 'hard', or 'end' for the last one.
 
     ``sizes``: prefix sums of token sizes, one entry more than characters; None counts characters.
-    A better kind of boundary is taken if it lies in the later half of the new characters.
+    A line break or sentence end in the later half of the new characters is taken first, then one in the first
+    half, and only without any of them another mark or space.
     """
     n, start, done, out = len(text), 0, 0, []
     total = (lambda i: i) if sizes is None else sizes.__getitem__
@@ -60,10 +62,10 @@ def cut_points(text: str, limit: int, overlap: int, sizes: list[int] | None = No
         if top >= n:
             return [*out, (start, n, "end")]
         end, kind = top, "hard"
-        for half in ((done + top) // 2, done):
-            for name, marks in ranked:
+        for kinds, least in ((ranked[:2], (done + top) // 2), (ranked[:2], done), (ranked[2:], done)):
+            for name, marks in kinds:
                 k = bisect_right(marks, top) - 1
-                if k >= 0 and marks[k] > half:
+                if k >= 0 and marks[k] > least:
                     end, kind = marks[k], name
                     break
             if kind != "hard":

@@ -173,6 +173,13 @@ def test_stretch_border():
         assert (splitter.longest_stretch(t, splitter.boundaries(t)[2]) > 600) == kind
 
 
+@pytest.mark.parametrize(("first", "kind"), [("短段\n", "line"), ("短句。", "sentence")])
+def test_sentences_before_commas(first, kind):
+    t = first + "长句，" * 60
+    assert splitter.cut_points(t, 50, 10)[0] == (0, 3, kind)
+    assert splitter.cut_points(t, 50, 10)[1][2] == "mark"
+
+
 def test_token_sizes():
     t = "甲乙 abcdef 丙丁。" * 40
     sizes = [0]
