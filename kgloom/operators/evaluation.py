@@ -27,11 +27,16 @@ def ir_metrics(hits: DataFrame, relevant: DataFrame, queries: DataFrame, k: int,
 
 
 def sign_test(wins: Column, losses: Column) -> Column:
-    """M5: two-sided exact sign test; 1 without any difference. Binomial terms are built by a running product."""
+    """M5: two-sided exact sign test; 1 without any difference.
+
+    The sum of binomial terms is kept as the logarithm of the last term and the ratio of the sum to it, so that no
+    number of cases makes it vanish.
+    """
     n, k = wins + losses, F.least(wins, losses)
-    step = lambda acc, i: F.struct((acc["term"] * (n - i + 1) / i).alias("term"), (acc["sum"] + acc["term"] * (n - i + 1) / i).alias("sum"))
-    first = F.struct(F.pow(F.lit(0.5), n).alias("term"), F.pow(F.lit(0.5), n).alias("sum"))
-    total = F.aggregate(F.when(k > 0, F.sequence(F.lit(1), k.cast("int"))).otherwise(F.array().cast("array<int>")), first, step, lambda a: a["sum"])
+    ratio = lambda i: (n - i + 1) / i
+    step = lambda acc, i: F.struct((acc["log"] + F.log(ratio(i))).alias("log"), (acc["rest"] / ratio(i) + 1.0).alias("rest"))
+    first = F.struct((n * F.log(F.lit(0.5))).alias("log"), F.lit(1.0).alias("rest"))
+    total = F.aggregate(F.when(k > 0, F.sequence(F.lit(1), k.cast("int"))).otherwise(F.array().cast("array<int>")), first, step, lambda a: F.exp(a["log"] + F.log(a["rest"])))
     return F.when(n == 0, 1.0).otherwise(F.least(F.lit(1.0), 2.0 * total))
 
 

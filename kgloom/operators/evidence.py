@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kgloom.functions.text import norm
-from kgloom.functions.tokens import loose, snippet
+from kgloom.functions.tokens import snippet
+from kgloom.operators.matching import contents, scan
 from kgloom.operators.rules import any_word, decide
 
 
@@ -41,16 +42,47 @@ def route(question: Column, words: dict[str, list[str]]) -> Column:
     return decide([(f["source"], "text"), (f["compare"], "both"), (f["relation"], "graph")], "text")
 
 
-def resolve_sources(rows: DataFrame, docs: DataFrame, key: str, length: int = 12) -> DataFrame:
-    """For rows (key, book, text) the documents of the same book that hold the head of the text; the strict tier first.
+def squeezed(c: Column | str) -> Column:
+    """A text without white space; null is ''."""
+    return F.regexp_replace(F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit("")), r"(?U)\s+", "")
 
-    Tier 0 compares texts as they are, tier 1 without case, white space and marks; only the best tier of a row stays.
+
+def resolve_sources(rows: DataFrame, docs: DataFrame, key: str, length: int = 18, least: int = 8) -> DataFrame:
+    """For rows (key, book, chapter, text) the document that holds the start of the text, as (key, tier, doc_id).
+
+    The start is the first ``length`` characters without white space, or all of them if there are ``least``; shorter
+    texts resolve nothing. The document's book must hold the row's. Tier 0: its chapter holds the row's, too; tier 1:
+    whatever the chapter. Of the best tier the smallest doc_id stays. Starts meet documents in one scan, and are
+    counted once for each book and chapter, so that a common start costs no pairs of rows and documents.
+    """
+    start = rows.select(key, "book", F.coalesce("chapter", F.lit("")).alias("chapter"), F.substring(squeezed("text"), 1, length).alias("start")).filter((F.length("start") >= least) & (F.col("book") != ""))
+    found = scan(docs.select("doc_id", squeezed("text").alias("t")), start.select(F.col("start").alias("name")), "doc_id", "t").join(docs.select("doc_id", "book_name", F.coalesce("chapter_title", F.lit("")).alias("title")), "doc_id")
+    held = found.groupBy(F.col("name").alias("start"), "book_name", "title").agg(F.min("doc_id").alias("doc_id"))
+    met = start.join(held, "start").filter(F.col("book_name").contains(F.col("book")))
+    tier = F.when((F.col("chapter") != "") & F.col("title").contains(F.col("chapter")), 0).otherwise(1)
+    return met.groupBy(key).agg(F.min(F.struct(tier.alias("tier"), "doc_id")).alias("m")).select(key, "m.*")
+
+
+#: Lengths of the starts that are tried, the longest first.
+PROBE_LENGTHS = (220, 180, 140, 100, 80, 60, 40)
+
+
+def unique_sections(rows: DataFrame, sections: DataFrame, key: str, lengths: tuple[int, ...] = PROBE_LENGTHS, least: int = 18) -> DataFrame:
+    """For rows (key, book, text) the one section (book, title, text) of the book that holds the text's start.
+
+    Starts of the given lengths are tried, the longest first; one counts if the sections that hold it have one title.
+    Texts are compared without white space first (how 'strict'), then by content characters only ('loose'). Rows
+    of fewer than ``least`` characters, or without such a start, give no row.
     """
-    head = rows.select(key, "book", F.substring("text", 1, length).alias("head")).filter(F.length("head") == length)
-    met = head.join(docs.select("doc_id", F.col("book_name").alias("book"), "text"), "book")
-    tier = F.when(F.col("text").contains(F.col("head")), 0).when((loose("head") != "") & loose("text").contains(loose("head")), 1)
-    found = met.select(key, "doc_id", tier.alias("tier")).filter("tier is not null")
-    return found.withColumn("_m", F.min("tier").over(Window.partitionBy(key))).filter("tier = _m").drop("_m")
+    tries = []
+    for order, (how, form) in enumerate((("strict", squeezed), ("loose", contents))):
+        whole = rows.select(key, "book", form("text").alias("whole")).filter(F.length("whole") >= least)
+        probe = F.explode(F.array_distinct(F.transform(F.array(*map(F.lit, lengths)), lambda n: F.substring(F.col("whole"), F.lit(1), n))))
+        probes = whole.select(key, "book", probe.alias("probe"))
+        held = scan(sections.filter("title != ''").select(F.struct("book", "title").alias("place"), form("text").alias("t")), probes.select(F.col("probe").alias("name")), "place", "t")
+        titles = held.groupBy(F.col("place.book").alias("book"), F.col("name").alias("probe")).agg(F.countDistinct("place.title").alias("n"), F.min("place.title").alias("title")).filter("n = 1")
+        tries.append(probes.join(titles, ["book", "probe"]).select(key, F.struct(F.lit(-order).alias("order"), F.length("probe").alias("n_chars"), F.lit(how).alias("how"), "title").alias("m")))
+    return tries[0].unionByName(tries[1]).groupBy(key).agg(F.max("m").alias("m")).select(key, "m.title", "m.how", "m.n_chars")
 
 
 def book_listing(tasks: DataFrame, done: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kgloom.functions.text import norm
+from kgloom.operators.matching import scan
 from kgloom.session import cut
 
 
@@ -23,17 +24,17 @@ def both_ways(pairs: DataFrame) -> DataFrame:
     return pairs.select(*rest, F.explode(ends).alias("e")).select("e.*", *rest)
 
 
-def components(pairs: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(pairs: DataFrame) -> DataFrame:
     """(name, head) of every name in pairs (a, b); head is the smallest name of the component.
 
     Alternates large-star and small-star steps, which take O(log^2 n) rounds and never gather a component in one
-    place: a step is a minimum per node and a join. Each round is cut; it ends when the edges stay the same.
+    place: a step is a minimum per node and a join. Each round is cut; the loop ends only when the edges stay the same.
     """
     edges = cut(pairs.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct())
     if edges.isEmpty():
         return edges.select(F.col("u").alias("name"), F.col("v").alias("head"))
     mark = None
-    for _ in range(most_rounds):
+    while True:
         sides = edges.select("u", "v").union(edges.select("v", "u"))
         low = sides.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
         large = sides.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
@@ -80,16 +81,11 @@ def expand_queries(queries: DataFrame, closure: DataFrame) -> DataFrame:
 
 
 def mentions(texts: DataFrame, names: DataFrame, key: str = "qid", text: str = "text") -> DataFrame:
-    """Distinct (key, name, at) of known names inside texts; at is the first place, from 1.
+    """Distinct (key, name, at) of known names inside texts; at is the first place, from 1.
 
-    Texts are cut into substrings of the lengths that names have, which meet the names in an equi-join: no
-    product of texts and names is formed. Null and empty texts mention nothing.
+    Null and empty texts mention nothing; of texts with one key each name's first place in any of them counts.
     """
-    known = names.select("name").filter("name != ''").distinct()
-    lengths = sorted(r[0] for r in known.select(F.length("name")).distinct().collect())
-    pieces = texts.select(key, F.explode(F.array(*(F.lit(n) for n in lengths)) if lengths else F.array().cast("array<int>")).alias("n"), F.col(text).alias("t")).filter("length(t) >= n")
-    spans = pieces.select(key, "n", F.posexplode(F.expr("transform(sequence(1, length(t) - n + 1), i -> substring(t, i, n))")).alias("at", "name"))
-    return spans.join(known, "name").groupBy(key, "name").agg((F.min("at") + 1).alias("at"))
+    return scan(texts, names, key, text).groupBy(key, "name").agg(F.min("at").alias("at"))
 
 
 def resolve(texts: DataFrame, names: DataFrame, key: str = "qid", text: str = "text", limit: int = 5) -> DataFrame:
@@ -114,16 +110,20 @@ def shortest_paths(pairs: DataFrame, near: DataFrame, limit: int = 5) -> DataFra
     """Shortest paths of up to three hops for each (qid, start, finish).
 
     ``near`` are the governed, fanout-capped steps (anchor, target, source_book), of which a path may use any.
-    Levels are joined one by one, the third by meeting the steps into the finish; a query that met leaves with
-    that depth. Paths have no cycle. Score: 1 / hops + 0.05 for each of up to three source books.
+    Levels are joined one by one, the third by meeting the steps into the finish; queries that met have their
+    shortest paths and leave before the next level grows. Paths have no cycle. Score: 1 / hops + 0.05 for each of
+    up to three source books.
     """
     step = near.select("anchor", "target", F.col("source_book").alias("book"))
     last = pairs.join(step, pairs["finish"] == step["target"]).select("qid", F.col("anchor").alias("node"), F.col("book").alias("last_book"))
     level = pairs.filter("start != finish").select("qid", "start", "finish", F.col("start").alias("node"), F.array("start").alias("nodes"), F.array().cast("array<string>").alias("books"))
     found: DataFrame | None = None
-    for _ in range(3):
+    for depth in range(3):
         met = level.join(last, ["qid", "node"]).select("qid", F.concat("nodes", F.array("finish")).alias("nodes"), F.concat("books", F.array("last_book")).alias("books"))
         found = met if found is None else found.unionByName(met)
+        if depth == 2:
+            break
+        level = level.join(met.select("qid").distinct(), "qid", "left_anti")
         grown = level.join(step, F.col("node") == F.col("anchor")).filter((F.col("target") != F.col("finish")) & ~F.array_contains("nodes", F.col("target")))
         level = grown.select("qid", "start", "finish", F.col("target").alias("node"), F.concat("nodes", F.array("target")).alias("nodes"), F.concat("books", F.array("book")).alias("books"))
     hops = F.size("nodes") - 1

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kgloom.functions.text import norm
+from kgloom.operators.matching import scan
 from kgloom.session import cut
 
 
@@ -44,7 +45,7 @@ def from_eav(eav: DataFrame, key: str, columns: list[str]) -> DataFrame:
 
 def shard_probe(rows: DataFrame, by: str, text: Column, terms: DataFrame) -> DataFrame:
     """Score of each shard: 2 for each row a term hits, and 0.1 for each of up to 12 distinct terms."""
-    hits = rows.select(by, text.alias("t")).join(F.broadcast(terms.limit(1000)), F.col("t").contains(F.col("term")))
+    hits = scan(rows.select(by, text.alias("t")), terms.select(F.col("term").alias("name")), by, "t").withColumnRenamed("name", "term")
     return hits.groupBy(by).agg(F.count("*").alias("hits"), F.countDistinct("term").alias("terms")).withColumn("score", F.round(F.col("hits") * 2.0 + 0.1 * F.least("terms", F.lit(12)), 6))
 
 

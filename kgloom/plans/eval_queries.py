@@ -9,18 +9,19 @@ from kgloom.functions import tokens as T
 from kgloom.operators import corpus as C
 from kgloom.operators import evaluation as E
 from kgloom.operators import records as Q
+from kgloom.operators.matching import common_runs
 from kgloom.plans.corpus_queries import _ITEMS, FIELDS, bm25, docs, fields, items, light, search
 from kgloom.plans.fact_queries import facts
 from kgloom.plans.sqlparts import F as CF
+from kgloom.plans.sqlparts import contents_sql
 from kgloom.plans.text_queries import KEYWORDS
 from kgloom.session import table
 
 
 def relevant(s: SparkSession, d: str) -> DataFrame:
-    """Documents that hold the first 20 characters of the passage of an item whose id is divisible by 20."""
-    heads = table(s, d, "eval_items").filter("item_id % 20 = 0").select(F.col("item_id").alias("qid"), F.substring("passage", 1, 20).alias("head"))
-    texts = docs(s, d).select("doc_id", "text").filter("length(text) >= 20")
-    return texts.join(F.broadcast(heads.limit(10_000)), F.col("text").contains(F.col("head"))).select("qid", "doc_id")
+    """Documents that share 30 consecutive content characters with the passage of an item whose id is divisible by 20."""
+    asked = table(s, d, "eval_items").filter("item_id % 20 = 0").select(F.col("item_id").alias("qid"), "passage")
+    return common_runs(docs(s, d), asked).select("qid", "doc_id")
 
 
 def metrics(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -146,7 +147,8 @@ QUERIES = {
 }
 
 _BM = bm25(10, "doc_id", "documents", light("text"), "items", light("query"))
-_GOLD = "gold AS (SELECT DISTINCT item_id AS qid, doc_id, 1 AS rel FROM eval_items JOIN documents ON contains(text, substring(passage, 1, 20)) AND length(text) >= 20 WHERE item_id % 20 = 0)"
+_GOLD = f"""gp AS (SELECT DISTINCT qid, substring(p, i, 30) AS g FROM (SELECT item_id AS qid, {contents_sql('passage')} AS p FROM eval_items WHERE item_id % 20 = 0), range(1, 100000) r(i) WHERE i <= length(p) - 29),
+gd AS (SELECT doc_id, {contents_sql('text')} AS t FROM documents), gold AS (SELECT DISTINCT qid, doc_id, 1 AS rel FROM gd JOIN gp ON contains(t, g))"""
 
 
 def _ir(hits: str, name: str) -> str:

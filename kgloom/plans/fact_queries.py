@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from kgloom.functions.text import norm
 from kgloom.operators import facts as O
 from kgloom.operators import relations as R
+from kgloom.operators.matching import scan
 from kgloom.plans.sqlparts import F as CF
 from kgloom.plans.sqlparts import KEY, SYM, trim
 from kgloom.session import table
@@ -155,7 +156,9 @@ def q_book_tier(s: SparkSession, d: str) -> DataFrame:
 def tiered_books(f: DataFrame, wanted: DataFrame) -> DataFrame:
     """Facts of a book by exact name; by substring only where no exact one exists."""
     tier = F.when(F.col("source_book") == F.col("book"), 0).when(F.col("source_book").contains(F.col("book")), 1)
-    names = f.select("source_book").distinct().join(F.broadcast(wanted.limit(1000)), tier.isNotNull()).withColumn("tier", tier)
+    books = f.select("source_book").distinct()
+    held = scan(books, wanted.select(F.col("book").alias("name")), "source_book", "source_book").select("source_book", F.col("name").alias("book"))
+    names = held.join(wanted.distinct(), "book").withColumn("tier", tier)
     best = names.withColumn("_m", F.min("tier").over(Window.partitionBy("qid"))).filter("tier = _m").drop("_m")
     return f.join(best, "source_book").groupBy("qid", "source_book", "tier").agg(F.count("*").alias("n"))
 

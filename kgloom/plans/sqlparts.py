@@ -24,3 +24,10 @@ SELECT row_id, predicate, source_book, source_chapter, best_source_text, best_co
 UNION ALL
 SELECT row_id, predicate, source_book, source_chapter, best_source_text, best_confidence, object, subject, 'in', object_type,
   CASE WHEN subject_type = '' THEN 'other' ELSE subject_type END FROM f WHERE subject <> '' AND object <> '' AND subject <> object)"""
+
+_WIDE, _NARROW = "".join(chr(0xFF01 + i) for i in range(94)), "".join(chr(0x21 + i) for i in range(94)).replace("'", "''")
+
+
+def contents_sql(x: str) -> str:
+    """As operators.matching.contents."""
+    return f"regexp_replace(lower(translate(coalesce({x}, ''), '{_WIDE}', '{_NARROW}')), '[^\\p{{L}}\\p{{N}}]+', '', 'g')"

@@ -113,7 +113,7 @@ def q_profile(s: SparkSession, d: str) -> DataFrame:
 def q_noncanonical(s: SparkSession, d: str) -> DataFrame:
     """Predicates that are no canonical term."""
     terms = table(s, d, "canonical_terms").filter("term_kind = 'predicate'").select(F.col("term").alias("predicate"))
-    return triples(s, d).select(F.coalesce("predicate", F.lit("")).alias("predicate")).join(F.broadcast(terms.limit(10_000)), "predicate", "left_anti").groupBy("predicate").agg(F.count("*").alias("n"))
+    return triples(s, d).select(F.coalesce("predicate", F.lit("")).alias("predicate")).join(terms, "predicate", "left_anti").groupBy("predicate").agg(F.count("*").alias("n"))
 
 
 def q_pollution(s: SparkSession, d: str) -> DataFrame:

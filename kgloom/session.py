@@ -28,15 +28,23 @@ def build_session(app: str = "kgloom", cores: int | None = None, **extra: str) -
     return spark
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The session's ``spark.checkpoint.dir``. Only on one machine (a local master) an unset one is made up; on a cluster that is an error."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="kgloom-"))
+    return context.getCheckpointDir()
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and go on from there.
 
-    The folder is the session's ``spark.checkpoint.dir``. Only where that is unset (tests, one machine)
-    a local one is made. The files outlive any executor, unlike a local checkpoint.
+    The files outlive any executor, unlike a local checkpoint.
     """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="kgloom-"))
+    shared_folder(df.sparkSession)
     done = df.checkpoint(eager=True)
     # A checkpointed plan keeps the constraints of the plan before it, and those of a self-join are the product of
     # both sides': over the rounds of an iterative operator planning would come to take longer than the work.

@@ -8,14 +8,12 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kgloom.session import cut
+from kgloom.session import shared_folder
 
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared checkpoint folder."""
-    if spark.sparkContext.getCheckpointDir() is None:
-        cut(spark.range(1))
-    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def _file(spark: SparkSession, path: str):  # noqa: ANN202
@@ -40,7 +38,8 @@ def read_text(spark: SparkSession, path: str) -> str | None:
     p, fs = _file(spark, path)
     if not fs.exists(p):
         return None
-    return "\n".join(r[0] for r in spark.read.text(path).limit(10_000).collect())
+    lines = spark.read.text(path, wholetext=True).select("value").head(2)
+    return lines[0][0] if lines else ""
 
 
 def publish(df: DataFrame, root: str) -> int:
@@ -94,7 +93,9 @@ def append_jsonl(df: DataFrame, path: str) -> None:
 
 
 def markdown(df: DataFrame, limit: int = 200) -> str:
-    """A small report as a Markdown table."""
-    rows = df.limit(limit).collect()
+    """A small report as a Markdown table; rows beyond ``limit`` are counted in a last line."""
+    rows = df.take(limit + 1)
+    more = df.count() - limit if len(rows) > limit else 0
+    rows = rows[:limit]
     head = "| " + " | ".join(df.columns) + " |\n|" + " --- |" * len(df.columns)
-    return "\n".join([head, *("| " + " | ".join("" if v is None else str(v).replace("|", "\\|") for v in r) + " |" for r in rows)])
+    return "\n".join([head, *("| " + " | ".join("" if v is None else str(v).replace("|", "\\|") for v in r) + " |" for r in rows), *([f"\n{more} more rows"] if more else [])])
