@@ -68,7 +68,7 @@ def test_unique_sections(frame):
     sections = frame([("书", "一", base[:100]), ("书", "二", base[:50] + base[150:250]), ("书", "二", base[:45]), ("另", "三", base)], "book string, title string, text string")
     rows = [(1, "书", base[:90]), (2, "书", base[:45]), (3, "书", base[:50] + "，" + base[150:190]), (4, "书", base[:10]), (5, "无", base), (6, "书", None)]
     got = evidence.unique_sections(frame(rows, "k int, book string, text string"), sections, "k")
-    assert sorted(map(tuple, got.collect())) == [(1, "一", "strict", 80), (3, "二", "loose", 80)]
+    assert sorted(map(tuple, got.collect())) == [(1, "一", "strict", 90), (3, "二", "loose", 90)]
 
 
 def test_sign_test_of_many_cases(spark):
