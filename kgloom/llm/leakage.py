@@ -1,16 +1,19 @@
-"""Problem 9: held-out evaluation passages that stand in corpus documents.
-
-Test items are few and bounded; the corpus is not. The corpus is read twice, and no text of it is shuffled.
-First every n-gram of an item is counted by documents. Then, of each window as long as the shortest run that
-is a leak, the rarest n-gram becomes a seed: a full run always holds at least one seed, however common the
-other n-grams are. Seeds join documents to items, and the places they join are aligned by Smith-Waterman,
-which scores copies, edited ones too, and yields the longest exact run. Items are handled in blocks of
-bounded size, each block against all documents.
+"""Problem 9: held-out evaluation passages that stand in corpus documents, whole, in part or edited.
+
+Test items are few and come in blocks of bounded size; the corpus is not. It is read twice a block, and no text of
+it is shuffled. First every n-gram of an item is counted by documents. Then, of each window of ``intact``
+characters, the rarest n-gram becomes a seed; a window with an n-gram that no document has stands nowhere and needs
+none. So whatever the counts are, each stretch of that length which a document shares with an item holds a seed:
+an edited copy is met between its edits, also if an exact copy elsewhere makes other n-grams the rarer ones. Seeds
+join documents to items, hits are extended to the shared stretches, and where these add up to a leak's least run
+within the length of an item, Smith-Waterman aligns both texts: it scores the copy, edits included, and yields
+the longest exact run.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -116,59 +119,106 @@ def align(queries: list[np.ndarray], targets: list[np.ndarray]) -> list[tuple[in
     return list(zip(best.tolist(), best_q.tolist(), best_t.tolist(), longest.tolist(), strict=True))
 
 
-def _windows(item: np.ndarray, place: np.ndarray, doc_place: np.ndarray, size: int, n: int) -> list[tuple[int, int]]:
-    """Stretches of a document around seed hits in which all of the item may stand."""
-    starts, ends = doc_place - place - n, doc_place - place + size + n
+def _windows(starts: np.ndarray, ends: np.ndarray, shared: np.ndarray, size: int, least: int) -> list[tuple[int, int]]:
+    """Stretches of a document in which all of an item may stand, around shared stretches of ``least`` characters in all."""
     order = np.argsort(starts, kind="stable")
     out: list[list[int]] = []
-    for a, b in zip(starts[order].tolist(), ends[order].tolist(), strict=True):
+    for a, b, n in zip(starts[order].tolist(), ends[order].tolist(), shared[order].tolist(), strict=True):
         if out and a <= out[-1][0] + size:
-            out[-1][1] = max(out[-1][1], b)
+            out[-1][1], out[-1][2] = max(out[-1][1], b), out[-1][2] + n
         else:
-            out.append([a, b])
-    return [(a, b) for a, b in out]
+            out.append([a, b, n])
+    return [(a, b) for a, b, n in out if n >= least]
 
 
-def rare_seeds(grams: list[np.ndarray], counts: dict[int, int], window: int, n: int) -> np.ndarray:
-    """The rarest n-gram of each window; all of them where an item is no longer than a window."""
-    picked: set[int] = set()
-    span = max(1, window - n + 1)
+def rare_seeds(grams: list[np.ndarray], every: np.ndarray, counts: np.ndarray, window: int, n: int) -> list[np.ndarray]:
+    """Places of the rarest n-gram of each window of each item; windows with an n-gram that no document has are left out."""
+    span, out = max(1, window - n + 1), []
     for g in grams:
-        df = np.array([counts.get(int(x), 0) for x in g])
-        if not len(g):
+        if len(g) < span:
+            out.append(np.zeros(0, "i8"))
             continue
-        views = np.lib.stride_tricks.sliding_window_view(df, min(span, len(df)))
-        at = np.arange(len(views)) + views.shape[1] - 1 - views[:, ::-1].argmin(1)
-        picked.update(g[np.unique(at)].tolist())
-    return np.array(sorted(picked), "u8")
+        views = np.lib.stride_tricks.sliding_window_view(counts[np.searchsorted(every, g)], span)
+        at = np.arange(len(views)) + span - 1 - views[:, ::-1].argmin(1)
+        out.append(np.unique(at[views.min(1) > 0]))
+    return out
+
+
+class Items:
+    """Passages of one block in one array with a zero around each, and the places of their seeds."""
+
+    def __init__(self, keys: list, passages: list[np.ndarray], grams: list[np.ndarray], seeds: list[np.ndarray]) -> None:
+        self.keys, self.passages = keys, passages
+        self.flat = np.concatenate([np.zeros(1, "u4"), *(x for p in passages for x in (p, np.zeros(1, "u4")))])
+        self.first = np.cumsum([1, *(len(p) + 1 for p in passages)])[:-1]
+        gram = np.concatenate([np.zeros(0, "u8"), *(g[s] for g, s in zip(grams, seeds, strict=True))])
+        place = np.concatenate([np.zeros(0, "i8"), *(s + f for s, f in zip(seeds, self.first, strict=True))])
+        order = np.lexsort((place, gram))
+        self.grams, begins = np.unique(gram[order], return_index=True)
+        self.places, self.ptr = place[order], np.append(begins, len(gram))
+
+    def shared(self, whole: np.ndarray, offsets: np.ndarray, doc: np.ndarray, at: np.ndarray, k: np.ndarray, n: int) -> tuple[np.ndarray, ...]:
+        """Stretches that documents and items share around hits: (document, start in the text, start in ``flat``, length), each once."""
+        size = self.ptr[k + 1] - self.ptr[k]
+        a, d = np.repeat(at, size), np.repeat(doc, size)
+        b = self.places[np.arange(size.sum()) + np.repeat(self.ptr[k] - np.cumsum(size) + size, size)]
+        end = a + n
+        live = np.arange(len(a))
+        while len(live):
+            x, y = a[live] - 1, b[live] - 1
+            live = live[(x >= offsets[d[live]]) & (whole[x] == self.flat[y])]
+            a[live] -= 1
+            b[live] -= 1
+        _, one = np.unique(np.stack([a, b]), axis=1, return_index=True)
+        a, b, d, end = a[one], b[one], d[one], end[one]
+        live = np.arange(len(a))
+        while len(live):
+            x = end[live]
+            live = live[x < offsets[d[live] + 1]]
+            live = live[whole[end[live]] == self.flat[b[live] + end[live] - a[live]]]
+            end[live] += 1
+        return d, a, b, end - a
 
 
 def find_leaks(
-    docs: DataFrame, items: DataFrame, *, doc_key: str = "doc_id", doc_text: str = "text", item_key: str = "item_id", item_text: str = "passage", least_run: int = 30, least_score: int = 40, n: int = 12, block_chars: int = 4_000_000
+    docs: DataFrame,
+    items: DataFrame,
+    *,
+    doc_key: str = "doc_id",
+    doc_text: str = "text",
+    item_key: str = "item_id",
+    item_text: str = "passage",
+    least_run: int = 30,
+    least_score: int = 40,
+    intact: int = 15,
+    n: int = 8,
+    block_chars: int = 2_000_000,
 ) -> DataFrame:
     """(item_id, doc_id, score, longest_run, item_chars, share): aligned pairs with score or run at least as given.
 
-    share is the score over that of a full copy. Null and empty texts hold nothing; items with fewer content
-    characters than n are reported by no row; repeated documents or items give one row each pair of keys.
+    A pair is aligned where stretches of ``intact`` or more characters that both texts share, within the length of
+    the item, add up to ``least_run``; so are all pairs with one such run. share is the score over that of a full
+    copy. Null and empty texts hold nothing; items with fewer content characters than ``intact`` are reported by
+    no row; repeated documents or items give one row each pair of keys. Items are read one by one and searched in blocks
+    of ``block_chars`` characters, which bounds what is broadcast to about 40 bytes a character.
     """
-    if n > least_run:
-        raise ValueError("n must not exceed least_run")
-    blocks: list[list[tuple]] = [[]]
-    size = 0
-    for r in items.select(item_key, item_text).toLocalIterator():
-        if size > block_chars:
-            blocks.append([])
-            size = 0
-        blocks[-1].append((r[0], r[1]))
-        size += len(r[1] or "")
+    if not n <= intact <= least_run:
+        raise ValueError("n, intact and least_run must not decrease")
     out: DataFrame | None = None
-    for block in blocks:
-        part = _find_block(docs.select(doc_key, doc_text), block, dict(items.dtypes)[item_key], item_key, doc_key, doc_text, least_run, least_score, n)
-        out = part if out is None else out.unionByName(part)
+    block: list[tuple] = []
+    size = 0
+    for r in chain(items.select(item_key, item_text).toLocalIterator(), (None,)):
+        if r is not None:
+            block.append((r[0], r[1]))
+            size += len(r[1] or "")
+        if size >= block_chars or r is None and (block or out is None):
+            part = _find_block(docs.select(doc_key, doc_text), block, dict(items.dtypes)[item_key], item_key, doc_key, doc_text, least_run, least_score, intact, n)
+            out = part if out is None else out.unionByName(part)
+            block, size = [], 0
     return out
 
 
-def _find_block(docs: DataFrame, block: list[tuple], item_type: str, item_key: str, doc_key: str, doc_text: str, least_run: int, least_score: int, n: int) -> DataFrame:
+def _find_block(docs: DataFrame, block: list[tuple], item_type: str, item_key: str, doc_key: str, doc_text: str, least_run: int, least_score: int, intact: int, n: int) -> DataFrame:
     passages = [content(t) for _, t in block]
     grams = [Hasher(n)(p) for p in passages]
     every = np.unique(np.concatenate([np.zeros(0, "u8"), *grams]))
@@ -184,21 +234,17 @@ def _find_block(docs: DataFrame, block: list[tuple], item_type: str, item_key: s
         on = np.flatnonzero(total)
         yield pd.DataFrame({"gram": on, "n": total[on]})
 
-    counts: dict[int, int] = {}
+    counts = np.zeros(len(every), "i8")
     if len(every):
-        tally = docs.select(doc_text).mapInPandas(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-        counts = {int(every[r["gram"]]): r["n"] for r in tally.toLocalIterator()}
-    chosen = rare_seeds(grams, counts, least_run, n)
-    places: dict[int, list[tuple[int, int]]] = {}
-    for i, g in enumerate(grams):
-        for p in np.flatnonzero(np.isin(g, chosen)).tolist():
-            places.setdefault(int(g[p]), []).append((i, p))
-    seed_table = shared((chosen, [places[int(g)] for g in chosen], passages, [k for k, _ in block]))
+        for r in docs.select(doc_text).mapInPandas(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).toLocalIterator():
+            counts[r["gram"]] = r["n"]
+    table = shared(Items([k for k, _ in block], passages, grams, rare_seeds(grams, every, counts, intact, n)))
     schema = f"`{item_key}` {item_type}, `{doc_key}` {dict(docs.dtypes)[doc_key]}, score int, longest_run int, item_chars int, share double"
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        grams, where, passages, keys = seed_table.value
-        hasher, seeds = Hasher(n), Seeds(grams)
+        known: Items = table.value
+        hasher, seeds, passages = Hasher(n), Seeds(known.grams), known.passages
+        sizes = np.array([len(p) for p in passages])
         for b in batches:
             ids = b[doc_key].tolist()
             pairs: list[tuple[int, int, np.ndarray]] = []
@@ -212,20 +258,25 @@ def _find_block(docs: DataFrame, block: list[tuple], item_type: str, item_key: s
                         best = found.setdefault((i, d), [0, 0])
                         best[0], best[1] = max(best[0], score), max(best[1], run)
 
-            for first, whole, offsets, doc, at, k in scan([t or "" for t in b[doc_text]], hasher, seeds) if len(grams) else ():
-                hits: dict[tuple[int, int], list[tuple[int, int]]] = {}
-                for d, a, s in zip(doc.tolist(), at.tolist(), k.tolist(), strict=True):
-                    for i, p in where[s]:
-                        hits.setdefault((i, d), []).append((p, a))
-                for (i, d), places in hits.items():
-                    p, a = np.array(places).T
-                    for x, y in _windows(passages[i], p, a, len(passages[i]), n):
-                        pairs.append((i, first + d, whole[max(x, offsets[d]) : min(y, offsets[d + 1])]))
+            for first, whole, offsets, doc, at, k in scan([t or "" for t in b[doc_text]], hasher, seeds) if len(known.grams) else ():
+                d, a, at_flat, length = known.shared(whole, offsets, doc, at, k, n)
+                long = length >= intact
+                d, a, at_flat, length = d[long], a[long], at_flat[long], length[long]
+                item = np.searchsorted(known.first, at_flat, side="right") - 1
+                start = a - (at_flat - known.first[item])
+                order = np.lexsort((start, d, item))
+                edges = np.flatnonzero(np.diff(item[order] * len(ids) + d[order])) + 1
+                for own in np.split(order, edges) if len(order) else ():
+                    if length[own].sum() < least_run:
+                        continue
+                    i, doc_no = int(item[own[0]]), int(d[own[0]])
+                    for x, y in _windows(start[own] - n, start[own] + sizes[i] + n, length[own], int(sizes[i]), least_run):
+                        pairs.append((i, first + doc_no, whole[max(x, offsets[doc_no]) : min(y, offsets[doc_no + 1])]))
                 if len(pairs) >= 480:
                     aligned(pairs, found)
                     pairs = []
             aligned(pairs, found)
-            rows = [(keys[i], ids[d], score, run, len(passages[i]), score / (MATCH * len(passages[i]))) for (i, d), (score, run) in found.items() if run >= least_run or score >= least_score]
+            rows = [(known.keys[i], ids[d], score, run, len(passages[i]), score / (MATCH * len(passages[i]))) for (i, d), (score, run) in found.items() if run >= least_run or score >= least_score]
             yield pd.DataFrame(rows, columns=[item_key, doc_key, "score", "longest_run", "item_chars", "share"])
 
     pairs = docs.mapInPandas(search, schema)

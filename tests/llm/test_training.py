@@ -312,6 +312,36 @@ def test_leaks_equal_brute_force(frame):
     assert {r.doc_id: r.item_ids for r in leakage.leaked_documents(found).collect()}[107] == [5, 6]
 
 
+@pytest.mark.parametrize("exact_too", [False, True])
+def test_edited_copies_are_found(frame, exact_too):
+    """Copies with a character changed every 16 to 29 places, with and without the exact copy elsewhere in the corpus."""
+    rng = random.Random(19)
+    items = [(i, text(rng, 200)) for i in range(24)]
+    docs = [(i, text(rng, 300)) for i in range(40)]
+    planted = set()
+    for i, p in items:
+        for step in (16, 20, 24, 29):
+            places = [k for k, c in enumerate(p) if c.isalnum()][step - 1 :: step]
+            changed = "".join("零" if k in places else c for k, c in enumerate(p))
+            docs.append((1000 + 10 * i + step % 10, text(rng, 40) + changed + text(rng, 40)))
+            planted.add((i, docs[-1][0]))
+        if exact_too:
+            docs += [(5000 + i, p), (6000 + i, p + text(rng, 20))]
+            planted |= {(i, 5000 + i), (i, 6000 + i)}
+    found = leakage.find_leaks(frame(docs, "doc_id long, text string"), frame(items, "item_id long, passage string"))
+    got = {(r.item_id, r.doc_id): r.share for r in found.collect()}
+    assert set(got) == planted
+    assert min(got.values()) > 0.8
+
+
+def test_shared_stretches_below_the_least_run_are_no_leak(frame):
+    rng = random.Random(20)
+    p = "".join(c for c in text(rng, 200) if c.isalnum())
+    docs = [(1, text(rng, 50) + p[20:49] + text(rng, 50)), (2, text(rng, 50) + p[20:50] + text(rng, 50)), (3, p[0:15] + text(rng, 500) + p[150:165])]
+    found = leakage.find_leaks(frame(docs, "doc_id long, text string"), frame([(7, p)], "item_id long, passage string"))
+    assert {(r.doc_id, r.longest_run >= 30) for r in found.collect()} == {(2, True)}
+
+
 def test_alignment_of_an_edited_copy():
     a = codes.content("甲乙丙丁戊己庚辛壬癸子丑寅卯")
     b = codes.content("零零甲乙丙丁己庚辛Ｘ壬癸子丑寅卯零")
