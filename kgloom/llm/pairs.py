@@ -3,9 +3,9 @@
 For every defect some labelling functions vote for it, against it or not at all. A vote pattern of one defect
 has at most 3^k forms, so that the table of pattern counts is small however many pairs there are; on it an
 expectation-maximization model learns how far each function is to be trusted and gives each pattern a
-posterior. A pair keeps every defect whose posterior exceeds that defect's cutoff, which is validated on
-hand-labelled pairs. How answers end is learned from all answers: of each last pair of characters (or word),
-hashed into a fixed number of cells, how often a text or sentence ends there.
+posterior. A pair keeps every defect whose posterior exceeds that defect's cutoff, which is chosen on one half of
+hand-labelled pairs and judged on the other. How answers end is learned from all answers: of each last pair of
+characters (or word), hashed into a fixed number of cells, how often a text or sentence ends there.
 """
 
 from __future__ import annotations
@@ -17,10 +17,10 @@ from functools import cached_property
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kgloom.llm.codes import code_points
 from kgloom.session import cut
 
 CELLS = 1 << 20
@@ -33,33 +33,52 @@ FINAL = "。！？!?．"
 CLOSERS = "”’」』）)》〉】]}\"'"
 OPEN_END = "，、：；,:;（([{《〈【“‘「『—-–·…+/&"
 
-_ASKS_SHORT = re.compile(r"可否|能否|是否|有无|有何|可不可|禁忌|吗|么|\b(can|may|is|are|does|should|any)\b", re.I)
-_DECLINE = re.compile(
-    r"恕难|难以?(作答|回答|奉告)|(无法|不能|不便|没法|没有办法|不方便|不予|拒绝|不会|不可以)[^，。；]{0,4}(回答|作答|给出|提供|判断|替您|回应|答复|讨论|处理|发表|评论|解答|协助|就此)|帮不上忙|答不了|不适合由我|不在[^，。]{0,4}范围|超出[^，。]{0,6}(能力|范围)|只能说到这里|不符合[^，。]{0,6}(规范|规定|政策)|拒绝处理|暂不提供|没有足够的(资料|信息)|不便就此|"
-    r"(can(no|')?t|unable to|not able to|won't|will not|do(es)? not allow|not allowed|must decline|decline to)\b.{0,30}\b(help|answer|answered|give|provide|comment|assist|discuss|guidance|request|an answer)|no comment|cannot be (answered|given)|request cannot",
-    re.I,
+class Either:
+    """A pattern of ideographs and one of Latin letters in lower case, which only texts with such letters are asked."""
+
+    def __init__(self, han: str, latin: str) -> None:
+        self.han, self.latin = re.compile(han), re.compile(latin)
+
+    def __call__(self, text: str, low: str) -> bool:
+        return bool(self.han.search(text) or low and self.latin.search(low))
+
+
+_ASKS_SHORT = Either(r"可否|能否|是否|有无|有何|可不可|禁忌|吗|么", r"\b(?:can|may|is|are|does|should|any)\b")
+#: Not being able or willing, and what is then not done; one within ten characters of the other declines.
+_NOT = "恕难|难以|无法|無法|不能|不便|没法|没办法|没有办法|不方便|不予|拒绝|不会|不可以|不宜|不愿|不打算|未能|无权|不应|不该|不得|暂不|没有足够"
+_TELL = "回答|作答|解答|答复|答覆|奉告|告知|告诉|给出|提供|判断|回应|讨论|处理|发表|评论|评价|协助|帮助|帮到|建议|说明|透露|就此|下结论|替您|资料|信息|意见"
+_DECLINES = Either(
+    rf"(?:{_NOT})[^，。；！？]{{0,10}}?(?:{_TELL})|(?:{_TELL})[^，。；！？]{{0,4}}(?:不了|不上|不便|不到)|帮不[上了]|答不[了上]|不适合由我|不由我|不在[^，。]{{0,6}}范围|超出[^，。]{{0,8}}(?:能力|范围|权限)|只能说到这里|不符合[^，。]{{0,6}}(?:规范|规定|政策|准则)|另请高明|爱莫能助",
+    r"(?:\bcan(?:no|')?t|could not|couldn't|unable to|not able to|won't|will not|would rather not|prefer not to|not? allow|not allowed|not permitted|not in a position|must decline|have to decline|decline to|refuse to)\b.{0,40}?\b(?:help|answer|answered|give|given|provide|comment|assist|discuss|guidance|request|advise|advice|say|respond|share)|no comment|cannot be (?:answered|given)|request cannot|(?:beyond|outside) (?:my|the) (?:scope|ability)",
 )
-_APOLOGY = re.compile(r"对不起|抱歉|不好意思|很遗憾|恕我|请见谅|望谅解|谢谢理解|\bsorry\b|apologi|regret", re.I)
-_META = re.compile(r"语言模型|人工智能|助手|本系统|专业医师|专家|另寻|请咨询|就诊|当面问|安全考虑|服务范围|您的请求|\bassistant\b|language model|guidelines|see a doctor|\bas an ai\b", re.I)
-_DOSE = re.compile(r"\d+(\.\d+)? ?(g|ml|mg|克|毫升|钱|两|剂|日|grams?|days?|minutes?|dias|jours|tage?|giorni)\b|\d+(g|ml|日|剂)|《|主之|方用|先煎|归经|功在|忌[一-鿿]{4}", re.I)
+_APOLOGY = Either(r"对不起|抱歉|不好意思|很遗憾|恕我|请见谅|望谅解|请谅解|谢谢理解|敬请", r"\bsorry\b|apologi|regret|afraid")
+_META = Either(r"语言模型|人工智能|助手|本系统|专业医师|专业人士|专家|另寻|请咨询|就诊|当面问|安全考虑|服务范围|您的请求", r"\bassistant\b|language model|guidelines|see a doctor|professional|\bas an ai\b|policy")
+_DOSE = Either(r"\d+(?:\.\d+)? ?(?:克|毫升|钱|两|剂|日)|\d[gG]|\d[mM][lLgG]|《|主之|方用|先煎|归经|功在|忌[一-鿿]{4}", r"\d+(?:\.\d+)? ?(?:g|ml|mg|grams?|days?|minutes?|dias|jours|tage?|giorni)\b")
 _ECHO_LABEL = re.compile(r"^(问题?|題目|题目|答案?|回答|您问的是|你问的是|您的问题是|原问|复述|question|q|answer|a|youasked)")
 _PART = re.compile(r"(?:^|[；;|\n。，,\s])\s*([一-鿿]{2,4})\s*(?:[：:]|-)")
 _TAG = re.compile(r"<[^<>]{0,20}>")
 _WORD = re.compile(r"[A-Za-zÀ-ɏ']+$")
+#: Words that join what follows, so that no sentence ends with them.
+_DANGLING = re.compile(r"(?:和|与|或|及|跟|并|而|若|因|于|把|被|将|的|\b(?:the|an?|of|and|or|with|at|for|to|in|by))$")
+_OPENING = re.compile("[（(\\[《〈【“「『]")
+_LATIN, _MARKED, _FOREIGN = re.compile("[A-Za-z]{2}"), re.compile("[：:-]"), re.compile(r"[^\W\d_一-鿿]")
 #: Frequent small words by language.
 SMALL_WORDS = {
-    "en": "the is it at for of and with to be in are taken by should this".split(),
-    "fr": "le la les des une est prend pendant et dans se puis jours éviter".split(),
-    "de": "der die das und mit man bei ist wird den danach trinkt am".split(),
-    "es": "el los se en una luego por noche durante toma conviene y".split(),
-    "pt": "o os à beber depois uma noite gramas não do da em".split(),
-    "it": "il gli la sera poi alla bere riposo di grammi per".split(),
+    "en": set("the is it at for of and with to be in are by should this that on from not no an as or which you was has".split()),
+    "fr": set("le la les des une un est pendant et dans se puis du au avec pour pas ne sur qui que par ce il".split()),
+    "de": set("der die das und mit man bei ist wird den dem danach am nicht ein eine zu von für auf im es sich".split()),
+    "es": set("el los las se en una un luego por y de la con para que del no al es su lo".split()),
+    "pt": set("o os a as à uma um e do da em não com para que depois no na por se".split()),
+    "it": set("il gli la lo un una e di per poi alla con che non si del della da in le".split()),
 }
 
 
+_OTHER = re.compile(r"[\W_]+")
+
+
 def content(text: str | None) -> str:
     """Letters, digits and ideographs only, folded."""
-    return "".join(c for c in unicodedata.normalize("NFKC", text or "").casefold() if c.isalnum())
+    return _OTHER.sub("", unicodedata.normalize("NFKC", text or "").casefold())
 
 
 #: Letters of the scripts told apart.
@@ -75,12 +94,20 @@ SCRIPTS = {
     "devanagari": "[\u0900-\u097f]",
     "thai": "[\u0e00-\u0e7f]",
 }
-_SCRIPTS = {name: re.compile(x) for name, x in SCRIPTS.items()}
+_SCRIPTS = {name: re.compile(x) for name, x in SCRIPTS.items() if name != "han"}
+_HAN, _LETTER = re.compile(SCRIPTS["han"]), re.compile(r"[^\W\d_]")
 
 
 def language(text: str | None) -> tuple[str, str, int]:
     """(language, script, letters). Ideographs count three times, as their words are shorter."""
-    counts = {name: len(x.findall(text or "")) * (3 if name == "han" else 1) for name, x in _SCRIPTS.items()}
+    text = text or ""
+    rest = _HAN.sub("", text)
+    han = 3 * (len(text) - len(rest))
+    letters = len(_LETTER.findall(rest))
+    if 6 * letters < han or not letters:
+        return ("zh", "han", han + letters) if han else ("", "", 0)
+    counts = {name: len(x.findall(rest)) for name, x in _SCRIPTS.items()} if not rest.isascii() else {"latin": len(_SCRIPTS["latin"].findall(rest)), "kana": 0}
+    counts["han"] = han
     total = sum(counts.values())
     if not total:
         return "", "", 0
@@ -89,37 +116,84 @@ def language(text: str | None) -> tuple[str, str, int]:
     script = max(counts, key=lambda k: counts[k])
     if script != "latin":
         return {"han": "zh", "hangul": "ko", "cyrillic": "ru"}.get(script, script), script, total
-    words = re.findall(r"[^\W\d_]+", (text or "").lower())
-    hits = {k: sum(w in v for w in words) for k, v in SMALL_WORDS.items()}
+    words = set(re.findall(r"[^\W\d_]+", text.lower()))
+    hits = {k: len(words & v) for k, v in SMALL_WORDS.items()}
     best = max(hits, key=lambda k: hits[k])
     return best if hits[best] >= 2 else "latin", script, total
 
 
 def ending(text: str) -> str | None:
     """The last two characters, or the last word, before any mark; None without."""
-    text = re.sub(r"\s+$", "", text)
+    text = text.rstrip()
     m = _WORD.search(text)
     if m:
         return m[0].lower()
-    tail = re.sub(r"\s+", "", text)[-2:]
+    tail = "".join(text[-12:].split())[-2:]
     return tail if tail and tail[-1].isalnum() else None
 
 
+_MIX = 0x9E3779B97F4A7C15
+_MASK = (1 << 64) - 1
+_POWERS = [pow(_MIX, i + 1, 1 << 64) for i in range(66)]
+
+
+def _mixed(sums: np.ndarray) -> np.ndarray:
+    sums = (sums ^ (sums >> np.uint64(31))) * np.uint64(_MIX)
+    return (sums >> np.uint64(40)).astype("i8") & CELLS - 1
+
+
 def cell(end: str) -> int:
-    return xxhash.xxh32_intdigest(end) & CELLS - 1
+    """Cell of a character, a pair of characters or a word, as ``end_cells`` gives them."""
+    total = 0
+    for i, c in enumerate(end):
+        total = (total + ord(c) * _POWERS[min(i, 65)]) & _MASK
+    total ^= total >> 31
+    return (total * _MIX & _MASK) >> 40 & CELLS - 1
+
 
+def end_cells(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Cells of all characters, pairs of characters and words of some texts, and whether a sentence or text ends there.
 
-def _ends(text: str) -> Iterator[tuple[int, bool]]:
-    """Cells of all character pairs and words of a text, and whether a sentence or the text ends there."""
-    squeezed = re.sub(r"\s+", "", re.sub(r"([A-Za-zÀ-ɏ']+)", " ", text))
-    for i, c in enumerate(squeezed):
-        if c.isalnum():
-            stops = i + 1 == len(squeezed) or squeezed[i + 1] in FINAL
-            yield cell(c), stops
-            if i:
-                yield cell(squeezed[i - 1 : i + 1]), stops
-    for m in re.finditer(r"[A-Za-zÀ-ɏ']+", text):
-        yield cell(m[0].lower()), m.end() == len(text) or text[m.end()] in ".!?。！？"
+    White space doesn't count, and words of Latin letters stand for themselves only.
+    """
+    codes = code_points("\x00".join([*(t.lower() for t in texts), ""]))
+    kind = kinds(codes)
+    word, stop = (kind & _WORDED) > 0, (kind & _STOP) > 0
+    power = np.multiply.accumulate(np.full(66, _MIX, "u8"))
+    kept = (kind & (_WORDED | _SPACE)) == 0
+    plain, alone = codes[kept].astype("u8"), (kind[kept] & _ALNUM) > 0
+    stops = np.append(stop[kept][1:], True)
+    pair = alone[1:] & (plain[:-1] != 0)
+    begins = np.flatnonzero(word & ~np.append(False, word[:-1]))
+    last = np.flatnonzero(word & ~np.append(word[1:], False))
+    inside = np.flatnonzero(word)
+    place = inside - np.repeat(begins, last - begins + 1)
+    with np.errstate(over="ignore"):
+        one = plain * power[0]
+        two = plain[:-1] * power[0] + plain[1:] * power[1]
+        long = np.add.reduceat(codes[inside].astype("u8") * power[np.minimum(place, 65)], np.searchsorted(inside, begins)) if len(begins) else np.zeros(0, "u8")
+        cells = _mixed(np.concatenate([one[alone], two[pair], long]))
+    return cells, np.concatenate([stops[alone], stops[1:][pair], np.append(stop | (codes == ord(".")), True)[last + 1]])
+
+
+_KNOWN, _SPACE, _ALNUM, _WORDED, _STOP = 1, 2, 4, 8, 16
+_kinds = np.zeros(0x110000, "u1")
+
+
+def _kind(code: int) -> int:
+    c = chr(code)
+    letter = c == "'" or "a" <= c <= "z" or "\u00c0" <= c <= "\u024f"
+    return _KNOWN | _SPACE * c.isspace() | _ALNUM * c.isalnum() | _WORDED * letter | _STOP * (c == "\x00" or c in FINAL)
+
+
+def kinds(codes: np.ndarray) -> np.ndarray:
+    """What each code point is; worked out once for each one met."""
+    found = _kinds[codes]
+    if not found.all():
+        for code in np.unique(codes[found == 0]).tolist():
+            _kinds[code] = _kind(code)
+        found = _kinds[codes]
+    return found
 
 
 class Pair:
@@ -128,126 +202,166 @@ class Pair:
     def __init__(self, question: str, answer: str, ends: Callable[[str], tuple[float, float]]) -> None:
         self.question, self.answer, self.ends = question, answer, ends
         self.q, self.a = content(question), content(answer)
+        self.bare = answer.rstrip()
+        self.low = answer.lower() if _LATIN.search(answer) else ""
 
     @cached_property
-    def asks_short(self) -> bool:
-        return bool(_ASKS_SHORT.search(self.question))
+    def short_answer(self) -> bool:
+        """A whole answer of one word to a question that asks for one."""
+        return self.a in SHORT_ANSWERS and _ASKS_SHORT(self.question, self.question.lower())
 
     @cached_property
     def inner(self) -> str:
-        return content(_TAG.sub("", self.answer))
+        return content(_TAG.sub("", self.answer)) if "<" in self.answer else self.a
 
     @cached_property
     def stands_in(self) -> bool:
-        return not self.inner or ((self.a in STAND_INS or self.inner in STAND_INS) and not (self.a in SHORT_ANSWERS and self.asks_short))
+        if len(self.inner) > 24:
+            return False
+        rest = _ECHO_LABEL.sub("", self.inner)
+        return not rest or bool({self.a, self.inner, rest} & STAND_INS) and not self.short_answer
 
     @cached_property
     def final(self) -> bool:
         """Ends with a final mark or a closing one."""
-        text = self.answer.rstrip()
-        bare = text.rstrip(CLOSERS).rstrip()
-        return bool(text) and (bare[-1:] in tuple(FINAL) or (text.endswith((".", "!", "?")) and not text.endswith("..")) or text[-1] in CLOSERS)
+        text = self.bare
+        return bool(text) and (text.rstrip(CLOSERS).rstrip()[-1:] in tuple(FINAL) or (text.endswith((".", "!", "?")) and not text.endswith("..")) or text[-1] in CLOSERS)
 
     @cached_property
     def echo(self) -> bool:
         """The question once or more, perhaps after a label, and nothing else."""
-        if not self.a or not self.q:
+        if not self.a or not self.q or len(self.a) < len(self.q):
             return False
-        rest = _ECHO_LABEL.sub("", self.a, count=1)
-        return any(x in (self.q, self.q * 2, self.q * 3) for x in (self.a, rest))
+        return any(x in (self.q, self.q * 2, self.q * 3) for x in (self.a, _ECHO_LABEL.sub("", self.a, count=1)))
+
+    @cached_property
+    def parts(self) -> int:
+        """Number of differently labelled parts."""
+        return len({m[1] for m in _PART.finditer(self.answer)}) if _MARKED.search(self.answer) else 0
 
     @cached_property
     def declines(self) -> bool:
-        return bool(_DECLINE.search(self.answer))
+        return _DECLINES(self.answer, self.low)
+
+    @cached_property
+    def tells(self) -> bool:
+        """Holds doses, works or effects, as answers of the domain do."""
+        return _DOSE(self.answer, self.low)
 
     @cached_property
     def overlap(self) -> float:
         """Share of character pairs that question and answer have in common."""
         x, y = _grams(self.a), _grams(self.q)
-        return len(x & y) / max(1, len(x | y))
+        both = len(x & y)
+        return both / max(1, len(x) + len(y) - both)
 
     @cached_property
     def tongues(self) -> tuple[tuple[str, str, int], tuple[str, str, int]]:
         return language(self.question), language(self.answer)
 
+    @cached_property
+    def no_answer(self) -> bool:
+        """Nothing that could be cut off or be in another language: a stand-in, the question, a refusal or one word."""
+        return self.stands_in or self.echo or self.a in self.q or self.declines and not self.tells or self.a in SHORT_ANSWERS
+
 
 def _grams(s: str) -> set[str]:
-    return {s[i : i + 2] for i in range(len(s) - 1)} or {s}
+    return set(zip(s, s[1:], strict=False)) or {(s,)}
 
 
 def _sign(yes: bool, no: bool = False) -> int:
     return 1 if yes else -1 if no else 0
 
 
-def _end_vote(p: Pair, low: float, high: float, single: bool = False) -> int:
-    if p.final or len(p.a) < 2:
-        return -1
+def _end_vote(p: Pair) -> int:
+    """Whether other texts and sentences end like this one: by its last word or two characters, as far as these are known, and by the last one."""
+    if p.final or len(p.a) < 2 or p.parts > 1:  # labelled parts come in any order, and any of their values may be the last
+        return 0
     end = ending(p.answer)
     if end is None:
         return 0
-    if single and not _WORD.search(end):
-        end = end[-1]
-    share, seen = p.ends(end)
-    return 0 if seen < 3 else _sign(share < low, share > high)
+    whole, last = p.ends(end), p.ends(end) if _WORD.search(end) else p.ends(end[-1])
+    if last[1] < 4:
+        return 0
+    others = max(0.0, last[0] * last[1] - 1) / (last[1] - 1)  # this text's own end is no evidence
+    share = (max(0.0, whole[0] * whole[1] - 1) + 10 * others) / (max(0.0, whole[1] - 1) + 10)
+    return _sign(share < 0.02, share > 0.06)
 
 
 def _open_brackets(p: Pair) -> int:
     tail = p.answer[-14:]
+    if not _OPENING.search(tail):
+        return -1
     opened = max(tail.rfind(c) for c in "（([《〈【“「『")
-    return _sign(opened >= 0 and not any(c in CLOSERS for c in tail[opened + 1 :]))
+    return _sign(not any(c in CLOSERS for c in tail[opened + 1 :]), True)
+
+
+def _open_end(p: Pair) -> int:
+    return _sign(len(p.a) > 1 and (p.bare[-1:] in tuple(OPEN_END) or p.bare.endswith("..") or bool(_DANGLING.search(p.bare))), True)
 
 
 def _labelled(p: Pair) -> int:
-    parts = len({m[1] for m in _PART.finditer(p.answer)})
-    if parts < 2 and not re.match(r"\s*[一-鿿]{2}[：:]", p.answer):
+    if p.parts < 2 and not (p.parts and re.match(r"\s*[一-鿿]{2}[：:]", p.answer)):
         return 0
-    return _sign(parts < 4 and not p.final, parts >= 4 and p.answer.rstrip()[-1:] not in tuple(OPEN_END))
+    return _sign(p.parts < 4 and not p.final, p.parts >= 4 and p.bare[-1:] not in tuple(OPEN_END))
 
 
-def _tongues(p: Pair, of: int) -> int:
-    """Whether language (0) or script (1) of question and answer differ; short answers tell nothing."""
+def _differ(p: Pair, of: int) -> int:
+    """Whether language (0) or script (1) of question and answer differ; short answers and unknown languages tell nothing."""
+    if not (p.low or _FOREIGN.search(p.a) or _FOREIGN.search(p.q)):
+        return -1
     asked, said = p.tongues
     if not asked[of] or said[2] < 8:
         return -1
+    if of == 0 and "latin" in (asked[0], said[0]) and asked[1] == said[1]:
+        return 0
     return _sign(asked[of] != said[of], True)
 
 
+def _unless(test: Callable[[Pair], bool], vote: Callable[[Pair], int]) -> Callable[[Pair], int]:
+    """A function that is against the defect wherever the test excludes it."""
+    return lambda p: -1 if test(p) else vote(p)
+
+
+def _whole(p: Pair) -> bool:
+    return p.no_answer
+
+
+def _said_before(p: Pair) -> bool:
+    return p.echo or p.stands_in
+
+
+#: Functions of a defect look at different things, so that none repeats another: what one excludes by definition,
+#: such as a cut-off stand-in, it is itself against.
 FUNCTIONS: dict[str, tuple[Callable[[Pair], int], ...]] = {
     "empty": (
-        lambda p: _sign(not p.a, bool(p.a)),
-        lambda p: _sign(p.stands_in, len(p.a) > 4),
-        lambda p: _sign(len(p.a) <= 4, len(p.a) > 6),
-        lambda p: _sign(p.stands_in, p.a in SHORT_ANSWERS and p.asks_short),
-        lambda p: _sign(not _ECHO_LABEL.sub("", p.inner) or p.a in STAND_INS and p.a not in SHORT_ANSWERS, len(p.a) > 4),
+        lambda p: _sign(not p.a, True),
+        lambda p: _sign(p.stands_in, len(p.inner) > 4),
+        lambda p: _sign(len(p.inner) <= 2 and not p.short_answer, len(p.inner) > 4 or p.short_answer),
+        lambda p: _sign(not p.tells and p.overlap <= 0.1, True),
     ),
     "truncated": (
-        lambda p: _sign(len(p.a) > 1 and (p.answer.rstrip()[-1:] in tuple(OPEN_END) or p.answer.rstrip().endswith("..")), p.final),
-        _open_brackets,
-        lambda p: _end_vote(p, 0.03, 0.2),
-        lambda p: _end_vote(p, 0.02, 0.08, single=True),
-        lambda p: _sign(not p.final, p.final),
-        _labelled,
-        lambda p: _sign(False, p.stands_in or p.echo or p.a in p.q or p.declines or p.a in SHORT_ANSWERS),
+        _unless(_whole, _open_end),
+        _unless(_whole, _open_brackets),
+        _unless(_whole, _end_vote),
+        _unless(_whole, lambda p: _sign(not p.final, True)),
+        _unless(_whole, _labelled),
     ),
     "refusal": (
-        lambda p: _sign(p.declines, True),
-        lambda p: _sign(bool(_APOLOGY.search(p.answer))),
-        lambda p: _sign(bool(_META.search(p.answer))),
-        lambda p: _sign(False, bool(_DOSE.search(p.answer))),
-        lambda p: _sign(4 < len(p.a) <= 80, True),
+        _unless(_said_before, lambda p: _sign(p.declines, True)),
+        _unless(_said_before, lambda p: _sign(_APOLOGY(p.answer, p.low), True)),
+        _unless(_said_before, lambda p: _sign(_META(p.answer, p.low), True)),
+        _unless(_said_before, lambda p: _sign(not p.tells, True)),
     ),
     "copied_question": (
         lambda p: _sign(p.echo, True),
-        lambda p: _sign(bool(p.q) and p.q in p.a and len(p.a) - len(p.q) * p.a.count(p.q) <= 6, True),
         lambda p: _sign(len(p.q) > 3 and p.overlap > 0.85, p.overlap < 0.7),
         lambda p: _sign(len(p.q) > 3 and p.a[-6:] == p.q[-6:], p.a[-6:] != p.q[-6:]),
     ),
     "other_language": (
-        lambda p: _tongues(p, 0),
-        lambda p: _tongues(p, 1),
-        lambda p: _sign(False, p.stands_in or p.echo),
-        lambda p: _sign(False, p.declines),
-        lambda p: _sign(len(p.a) > 20 and p.overlap < 0.05, p.overlap > 0.2),
+        _unless(_whole, lambda p: _differ(p, 0)),
+        _unless(_whole, lambda p: _differ(p, 1)),
+        _unless(_whole, lambda p: _sign(len(p.a) > 20 and p.overlap < 0.05, p.overlap > 0.2)),
     ),
 }
 
@@ -293,23 +407,21 @@ def end_statistics(pairs: DataFrame) -> np.ndarray:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros((2, CELLS), "i8")
         for b in batches:
-            for text in b["answer"]:
-                for k, end in _ends((text or "").strip()):
-                    total[0, k] += 1
-                    total[1, k] += end
+            cells, stops = end_cells([t or "" for t in b["answer"]])
+            total += np.stack([np.bincount(cells, minlength=CELLS), np.bincount(cells[stops], minlength=CELLS)])
         on = np.flatnonzero(total[0])
         yield pd.DataFrame({"cell": on, "n": total[0, on], "ends": total[1, on]})
 
     out = np.zeros((2, CELLS), "i8")
-    for r in pairs.select("answer").mapInPandas(run, "cell long, n long, ends long").groupBy("cell").agg(F.sum("n").alias("n"), F.sum("ends").alias("ends")).toLocalIterator():
-        out[:, r["cell"]] = r["n"], r["ends"]
+    rows = pairs.select("answer").mapInPandas(run, "cell long, n long, ends long").groupBy("cell").agg(F.sum("n").alias("n"), F.sum("ends").alias("ends")).toPandas()
+    out[:, rows["cell"]] = rows["n"], rows["ends"]
     return out
 
 
 def votes_of(question: str | None, answer: str | None, ends: Callable[[str], tuple[float, float]]) -> dict[str, str]:
     """Vote pattern of each defect: one of '+', '-', '0' for each labelling function."""
     p = Pair(question or "", answer or "", ends)
-    return {d: "".join("0+-"[f(p)] for f in fs) for d, fs in FUNCTIONS.items()}
+    return {d: "".join(["0+-"[f(p)] for f in fs]) for d, fs in FUNCTIONS.items()}
 
 
 def _lookup(stats: np.ndarray) -> Callable[[str], tuple[float, float]]:
@@ -334,46 +446,51 @@ def vote(pairs: DataFrame, stats: np.ndarray) -> DataFrame:
     return wide.select("source_table", "record_id", F.explode(F.array(*(F.struct(F.lit(d).alias("defect"), F.col(d).alias("pattern")) for d in DEFECTS))).alias("v")).select("source_table", "record_id", "v.*")
 
 
-#: How many times as likely each function's vote for, or against, is thought to be right as to be wrong.
+#: Where expectation-maximization starts: how many times as likely each function's vote for, or against, is thought to be right as to be wrong.
 TRUST: dict[str, tuple[tuple[float, float], ...]] = {
-    "empty": ((1000, 2), (300, 300), (3, 50), (20, 1e6), (20, 20)),
-    "truncated": ((300, 100), (10, 1), (80, 30), (15, 3), (4, 50), (4, 1e5), (1, 1e6)),
-    "refusal": ((500, 100), (4, 1), (5, 1), (1, 200), (1.5, 20)),
-    "copied_question": ((1000, 30), (100, 20), (20, 50), (3, 2)),
-    "other_language": ((300, 300), (50, 5), (1, 1e6), (1, 1e6), (3, 20)),
+    "empty": ((1000, 2), (300, 50), (10, 3), (3, 50)),
+    "truncated": ((100, 1.5), (10, 1.05), (20, 5), (8, 50), (30, 10)),
+    "refusal": ((300, 50), (20, 2), (20, 2), (3, 100)),
+    "copied_question": ((500, 50), (50, 50), (10, 5)),
+    "other_language": ((100, 100), (50, 5), (3, 20)),
 }
 
 
-def label_model(counts: dict[str, int], trust: tuple[tuple[float, float], ...], rounds: int = 60, firm: float = 4.0) -> dict[str, float]:
+def label_model(counts: dict[str, int], trust: tuple[tuple[float, float], ...], rounds: int = 200, firm: float = 0.5) -> dict[str, float]:
     """Posterior of the defect for each pattern, by expectation-maximization that starts from the trust.
 
-    Votes are taken as independent given the truth. The trust also stays as a prior that weighs ``firm`` times
-    as much as the data of its class: with functions that err together the data alone would tell other classes
-    apart, such as short answers from long ones.
+    Votes are taken as independent given the truth, and not to vote says nothing. The trust is also a prior of
+    ``firm`` times the weight of the votes, so that votes count the more, and alike at every size. Two things keep the
+    classes what they are called: the defect is the rarer class, and a vote for it never makes it less likely, nor
+    one against it more likely. Where a ratio is 1e5 or more, that a pair with the defect gets no such wrong vote is a rule and not learned.
     """
     patterns = sorted(counts)
     if not patterns:
         return {}
     n = np.array([counts[p] for p in patterns], float)
     code = np.array([["0+-".index(c) for c in p] for p in patterns])
-    k = code.shape[1]
-    belief = np.array([[[0.4, 0.6 / plus, 0.6], [0.4, 0.6, 0.6 / minus]] for plus, minus in trust])  # truth: no, yes; votes: none, for, against
-    belief /= belief.sum(2, keepdims=True)
-    table, prior, post = belief, np.array([0.97, 0.03]), np.zeros(len(n))
+    plus, minus = np.array(trust, float).T
+    alarm = np.clip((minus - 1) / (plus * minus - 1), 1e-4, 1 - 1e-4)  # how often a function is for the defect without it, from both ratios
+    hit = np.clip(plus * alarm, 1e-4, 1 - 1e-7)
+    belief = np.stack([np.stack([alarm, 1 - alarm], 1), np.stack([hit, 1 - hit], 1)], 1)  # truth: no, yes; votes: for, against
+    fixed = np.array([max(votes) >= 1e5 for votes in trust])
+    table, prior, post = belief.copy(), np.array([0.97, 0.03]), np.zeros(len(n))
     for _ in range(rounds):
-        log = np.log(prior)[:, None] + sum(np.log(table[j][:, code[:, j]]) for j in range(k))
-        new = 1 / (1 + np.exp(np.clip(log[0] - log[1], -500, 500)))
+        odds = sum(np.where(code[:, j] > 0, np.log(table[j, 1] / table[j, 0])[code[:, j] - 1], 0.0) for j in range(code.shape[1]))
+        new = 1 / (1 + np.exp(np.clip(-np.log(prior[1] / prior[0]) - odds, -500, 500)))
         if np.abs(new - post).max() < 1e-6:
             break
         post = new
-        weight = np.stack([(1 - post) * n, post * n])
-        prior = (weight.sum(1) + [19.4, 0.6]) / (weight.sum() + 20)
-        seen = np.stack([np.stack([(weight * (code[:, j] == v)).sum(1) for v in range(3)], 1) for j in range(k)])
-        table = seen + belief * (firm * weight.sum(1)[None, :, None] + 1)
-        table /= table.sum(2, keepdims=True)
-        for j, votes in enumerate(trust):
-            if max(votes) >= 1e5:  # a veto is a rule, not to be learned
-                table[j] = belief[j]
+        mass = np.stack([(1 - post) * n, post * n])
+        share = min(0.5, (mass[1].sum() + 0.6) / (mass.sum() + 20))
+        prior = np.array([1 - share, share])
+        seen = np.stack([np.stack([(mass * (code[:, j] == v)).sum(1) for v in (1, 2)], 1) for j in range(code.shape[1])])
+        seen += belief * (firm * seen.sum(2, keepdims=True) + 1)
+        table = seen / seen.sum(2, keepdims=True)
+        pooled = seen.sum(1) / seen.sum((1, 2))[:, None]
+        wrong = table[:, 1, 0] < table[:, 0, 0]  # a function that contradicts its name says nothing
+        table[wrong] = pooled[wrong, None, :]
+        table[fixed, 1] = belief[fixed, 1]
     return dict(zip(patterns, post.tolist(), strict=True))
 
 
@@ -381,7 +498,7 @@ def validated_cutoff(defect: str, posterior: dict[str, float], ends: Callable[[s
     """The cutoff with the best F1 on the hand-labelled pairs; of equal ones the one nearest to a half."""
     truth = [(votes_of(q, a, ends)[defect], defect in d.split()) for q, a, d in VALIDATION]
     best = (-1.0, 0.0, 0.5)
-    for c in np.arange(0.05, 0.96, 0.05):
+    for c in np.arange(0.2, 0.81, 0.05):
         said = [(posterior.get(p, _nearest(p, posterior)) > c, t) for p, t in truth]
         right, wrong = sum(s and t for s, t in said), sum(s != t for s, t in said)
         best = max(best, (2 * right / max(1, 2 * right + wrong), -abs(c - 0.5), float(c)))
