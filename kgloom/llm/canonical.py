@@ -3,9 +3,10 @@
 Distinct values are mapped, not rows. An Aho-Corasick automaton over the folded terms and aliases finds all
 mentions in a value; the longest that don't overlap win, and a value is mapped if what is left beside its
 mentions is a label or no more than noise. What remains goes to token-set similarity: tokens are the
-characters and character pairs of the folded text, and the best term is taken if the sets are similar enough
-and the texts are within the edits that a slip of the pen makes. Anything else is reported as unmatched.
-The reference list is broadcast; its size is checked against ``max_terms`` first.
+characters and character pairs of the folded text, and an index from tokens to forms gives those that may be as
+similar as slips of the pen leave them. The most similar form wins, edits decide between equals and confirm it.
+Anything else is reported as unmatched. The reference list is built once and broadcast; its size is checked against
+``max_terms`` first.
 """
 
 from __future__ import annotations
@@ -76,16 +77,44 @@ def slips(length: int) -> int:
     return 0 if length < 2 else 1 if length < 10 else 2
 
 
+#: Tokens of a text that one slip can touch: a character and the two pairs with it, or three pairs of a swap.
+TOUCHED = 3
+
+
+class TokenIndex:
+    """Forms by token. ``near`` looks only at the rarest tokens of a text, of which any form that is similar enough shares one."""
+
+    def __init__(self, forms: list[str]) -> None:
+        self.sets = {f: tokens(f) for f in forms}
+        self.postings: dict[str, list[str]] = {}
+        for f, own in self.sets.items():
+            for t in own:
+                self.postings.setdefault(t, []).append(f)
+
+    def near(self, text: str) -> list[tuple[float, str]]:
+        """(similarity, form) of the forms that share all tokens but those the slips may touch, the most similar first."""
+        own = tokens(text)
+        most = slips(len(text) + 1)
+        rare = sorted(own, key=lambda t: (len(self.postings.get(t, ())), t))
+        scored = []
+        for f in {f for t in rare[: TOUCHED * most + 1] for f in self.postings.get(t, ()) if abs(len(f) - len(text)) <= most}:
+            other = self.sets[f]
+            both = len(own & other)
+            if both >= max(1, max(len(own), len(other)) - TOUCHED * slips(max(len(f), len(text)))):
+                scored.append((both / (len(own) + len(other) - both), f))
+        return sorted(scored, key=lambda s: (-s[0], s[1]))
+
+
 class Matcher:
     """Terms of one kind: value -> canonical term or None, and how it was found."""
 
-    def __init__(self, entries: list[tuple[str, str]], fold: Folder, least: float = 0.3) -> None:
-        self.fold, self.least, self.automaton, self.forms = fold, least, ahocorasick.Automaton(), {}
+    def __init__(self, entries: list[tuple[str, str]], fold: Folder) -> None:
+        self.fold, self.automaton, self.forms = fold, ahocorasick.Automaton(), {}
         for form, term in entries:
             words = fold(form)
             if words:
                 self.forms.setdefault("".join(words), term)
-        self.sets = {form: tokens(form) for form in self.forms}
+        self.index = TokenIndex(list(self.forms))
         self.labels = sorted({"".join(fold(x)) for x in LABELS}, key=len, reverse=True)
         for form, term in self.forms.items():
             self.automaton.add_word(form, (form, term))
@@ -115,17 +144,19 @@ class Matcher:
         return words
 
     def similar(self, text: str) -> str | None:
-        own = tokens(text)
-        scored = []
-        for form, other in self.sets.items():
-            share = len(own & other) / len(own | other)
-            if share >= self.least or len(form) <= 4:
-                allowed = slips(max(len(form), len(text)))
-                if share > 0 and (d := edits(text, form, allowed)) <= allowed:
-                    scored.append((d, -share, form))
-        scored.sort()
-        best = [x for x in scored if x[:2] == scored[0][:2]]
-        return self.forms[best[0][2]] if best and len({self.forms[x[2]] for x in best}) == 1 else None
+        """The term of the most similar form within the slips; none where equals mean different terms."""
+        best: list[tuple[float, int, str]] = []
+        for share, form in self.index.near(text):
+            if best and share < best[0][0]:
+                break
+            allowed = slips(max(len(form), len(text)))
+            if (d := edits(text, form, allowed)) <= allowed:
+                best.append((share, d, self.forms[form]))
+        if not best:
+            return None
+        fewest = min(d for _, d, _ in best)
+        named = {term for _, d, term in best if d == fewest}
+        return named.pop() if len(named) == 1 else None
 
     def __call__(self, value: str) -> tuple[str | None, str]:
         words = self.unlabelled(self.fold(value))
@@ -159,15 +190,17 @@ def map_values(values: DataFrame, terms: DataFrame, *, max_terms: int = 100_000)
     """(kind, value, canonical_term, how) of each distinct (kind, value); 'UNMATCHED' where no term is meant."""
     known = reference_list(terms, max_terms)
     fold = Folder(simplified(values.sparkSession))
+    context = values.sparkSession.sparkContext
+    shared = context.broadcast(({kind: Matcher(entries, fold) for kind, entries in known.items()}, Matcher([], fold)))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        matchers = {kind: Matcher(entries, fold) for kind, entries in known.items()}
-        empty = Matcher([], fold)
+        matchers, empty = shared.value
         for b in batches:
             found = [matchers.get(k, empty)(v) for k, v in zip(b["kind"], b["value"], strict=True)]
             yield b.assign(canonical_term=[t or UNMATCHED for t, _ in found], how=[h for _, h in found])
 
-    return values.select("kind", "value").distinct().mapInPandas(run, "kind string, value string, canonical_term string, how string")
+    distinct = values.select("kind", "value").distinct().repartition(context.defaultParallelism, "kind", "value")  # not left to one small task
+    return distinct.mapInPandas(run, "kind string, value string, canonical_term string, how string")
 
 
 def map_fields(df: DataFrame, terms: DataFrame, *, key: str = "triple_id", kinds: dict[str, str] | None = None, max_terms: int = 100_000) -> DataFrame:
@@ -179,5 +212,5 @@ def map_fields(df: DataFrame, terms: DataFrame, *, key: str = "triple_id", kinds
     kinds = kinds or {"raw_predicate": "predicate", "raw_subject_type": "entity_type"}
     rows = df.select(key, F.explode(F.array(*(F.struct(F.lit(f).alias("raw_field"), F.lit(k).alias("kind"), F.col(f).alias("value")) for f, k in kinds.items()))).alias("v")).select(key, "v.*").filter(~blank("value"))
     exact = terms.select(F.col("term_kind").alias("kind"), F.col("term").alias("value")).distinct()
-    rows = rows.join(F.broadcast(exact.limit(max_terms)), ["kind", "value"], "left_anti")
+    rows = rows.join(F.broadcast(exact), ["kind", "value"], "left_anti")
     return rows.join(map_values(rows, terms, max_terms=max_terms), ["kind", "value"]).select(key, "raw_field", "value", "canonical_term", "how")

@@ -404,3 +404,21 @@ def test_boosting_learns_and_holds_out():
     m = boosting.Boosted().fit(x[:1000], y[:1000]).calibrate(x[1000:1500], y[1000:1500])
     assert ((m.predict(x[1500:]) >= m.cutoff) == y[1500:]).mean() > 0.95
     assert boosting.Boosted().fit(np.zeros((0, 2)), np.zeros(0)).predict(np.zeros((1, 2))).shape == (1,)
+
+
+def test_token_index_loses_no_form_within_the_slips():
+    """Every form that edits alone would accept is met by the index, on random words with repeated letters."""
+    rng = random.Random(22)
+    word = lambda: "".join(rng.choice("abcde功效证候") for _ in range(rng.randint(1, 14)))
+    forms = sorted({word() for _ in range(400)})
+    index = canonical.TokenIndex(forms)
+    for _ in range(600):
+        w = rng.choice(forms) if rng.random() < 0.8 else word()
+        for _ in range(rng.randint(0, 2)):
+            k = rng.randrange(len(w) + 1)
+            w = rng.choice((w[:k] + rng.choice("abx") + w[k:], w[:k] + w[k + 1 :], w[:k] + "y" + w[k + 1 :], w[:k] + w[k + 1 : k + 2] + w[k : k + 1] + w[k + 2 :]))
+        near = {f for _, f in index.near(w)}
+        for f in forms:
+            allowed = canonical.slips(max(len(f), len(w)))
+            if canonical.tokens(f) & canonical.tokens(w) and canonical.edits(w, f, allowed) <= allowed:
+                assert f in near
