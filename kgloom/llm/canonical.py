@@ -94,7 +94,7 @@ class TokenIndex:
     def near(self, text: str) -> list[tuple[float, str]]:
         """(similarity, form) of the forms that share all tokens but those the slips may touch, the most similar first."""
         own = tokens(text)
-        most = slips(len(text) + 1)
+        most = slips(len(text) + 2)
         rare = sorted(own, key=lambda t: (len(self.postings.get(t, ())), t))
         scored = []
         for f in {f for t in rare[: TOUCHED * most + 1] for f in self.postings.get(t, ()) if abs(len(f) - len(text)) <= most}:
