@@ -4,46 +4,54 @@ A record becomes a 128-bit digest of its canonical form. Every partition fills t
 digests seen once and of digests seen again; partial filters are merged block by block, a bit being set in
 both sides' filters of once-seen digests going to the repeats. Only records that the merged filter of repeats
 lets through are shuffled for exact grouping, all others are singletons at once. A false positive costs one
-row in that shuffle and no correctness. The filter has 2^bits bits, sized from the row count and at most
-``max_bits``, which bounds the broadcast (2^27 bits: 16 MB); past that size more singletons are shuffled.
+row in that shuffle and no correctness.
+
+Bits grow with the records, 16 each, but a broadcast filter has at most 2^max_bits of them (2^27: 16 MB, 8 million
+records). More records are written to the shared folder by range of their digests, without a shuffle, and
+range after range gets a filter of its own: all ranges are as well filtered as a small table.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
+import uuid
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import regex
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kgloom.session import cut
+from kgloom.session import cut, shared_folder
 
 BLOCK_BITS = 1 << 20
 PROBES = 7
 
 _PART = re.compile(r"(?:^|(?<=[^\w]))([^\W\d_]{1,12}) ?[:\-–—]")
+_LABEL_MARK = re.compile(r"[:\-–—]")
 _INNER = re.compile(r"(?<=\d)[.:/~\-](?=\d)|(?<=\d),(?=\d{3}(?!\d))")
 
 
+#: Marks inside numbers, as code between two private-use characters that no folded text keeps otherwise.
+_OPEN, _CLOSE = "\ue000", "\ue001"
+_DROPPED = regex.compile(rf"[^\p{{L}}\p{{N}}\p{{M}}{_OPEN}{_CLOSE}]+")
+
+
 def plain(text: str) -> str:
     """Folded text without white space and marks; a mark inside a number stays."""
-    kept = _INNER.sub(lambda m: f"{ord(m[0]):x}", text)
-    kept = "".join(c for c in kept if c.isalnum() or c in "" or unicodedata.category(c)[0] == "M")
-    return kept
+    return _DROPPED.sub("", _INNER.sub(lambda m: f"{_OPEN}{ord(m[0]):x}{_CLOSE}", text))
 
 
 def canonical(text: str | None) -> str:
     """The text apart from white space, case, width, punctuation and the order of labelled parts; null is ''."""
     folded = unicodedata.normalize("NFKC", text or "").casefold().replace("\r", "\n")
-    folded = re.sub(r"\s*\n\s*", "\n", folded.strip())
-    folded = re.sub(r"[^\S\n]+", "", folded)
-    parts = [m.start(1) for m in _PART.finditer(folded)]
+    folded = "\n".join(line for line in ("".join(part.split()) for part in folded.split("\n")) if line)
+    parts = [m.start(1) for m in _PART.finditer(folded)] if _LABEL_MARK.search(folded) else []
     if len(parts) < 2 or plain(folded[: parts[0]]):
         return plain(folded)
     ends = [*parts[1:], len(folded)]
@@ -69,16 +77,24 @@ def positions(d1: np.ndarray, d2: np.ndarray, blocks: int) -> tuple[np.ndarray,
 
 
 def fill(d1: np.ndarray, d2: np.ndarray, blocks: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """Of each block, the bits of digests seen once, and of those seen again."""
+    """Of each block, the bits of digests seen once, and of those seen again, packed."""
+    order = np.lexsort((d2, d1))
+    d1, d2 = d1[order], d2[order]
+    new = np.append(True, (d1[1:] != d1[:-1]) | (d2[1:] != d2[:-1]))[: len(d1)]
+    twice = np.append(~new[1:], False)[: len(d1)][new]  # the row after the first one of a digest is the same digest
+    block, bits = positions(np.ascontiguousarray(d1[new]), np.ascontiguousarray(d2[new]), blocks)
+    order = np.argsort(block, kind="stable")
+    ends = np.flatnonzero(np.diff(block[order])) + 1
     out: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-    pairs, counts = np.unique(np.stack([d1, d2], 1), axis=0, return_counts=True) if len(d1) else (np.zeros((0, 2), "i8"), np.zeros(0))
-    block, bits = positions(np.ascontiguousarray(pairs[:, 0]), np.ascontiguousarray(pairs[:, 1]), blocks)
-    for k in np.unique(block):
-        own = block == k
-        once, again = np.zeros(BLOCK_BITS, bool), np.zeros(BLOCK_BITS, bool)
-        once[bits[:, own].ravel()] = True
-        again[bits[:, own & (counts > 1)].ravel()] = True
-        out[int(k)] = (np.packbits(once), np.packbits(again))
+    for own in np.split(order, ends) if len(order) else ():
+        out[int(block[own[0]])] = _packed(bits[:, own]), _packed(bits[:, own[twice[own]]])
+    return out
+
+
+def _packed(bits: np.ndarray) -> np.ndarray:
+    out = np.zeros(BLOCK_BITS // 8, "u1")
+    flat = bits.ravel()
+    np.bitwise_or.at(out, (flat >> np.uint64(3)).astype("i8"), np.uint8(128) >> (flat & np.uint64(7)).astype("u1"))
     return out
 
 
@@ -106,9 +122,19 @@ def repeats_filter(hashed: DataFrame, blocks: int, fan_in: int = 64) -> dict[int
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         found: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        held: list[np.ndarray] = []
+
+        def spend() -> None:
+            if held:
+                for k, now in fill(*np.concatenate(held, axis=1), blocks).items():
+                    found[k] = merge(found[k], now) if k in found else now
+                held.clear()
+
         for b in batches:
-            for k, now in fill(b["d1"].to_numpy("i8"), b["d2"].to_numpy("i8"), blocks).items():
-                found[k] = merge(found[k], now) if k in found else now
+            held.append(np.stack([b["d1"].to_numpy("i8"), b["d2"].to_numpy("i8")]))
+            if sum(h.shape[1] for h in held) >= 1 << 19:
+                spend()
+        spend()
         yield _pack(TaskContext.get().partitionId(), found)
 
     filters = hashed.select("d1", "d2").mapInPandas(partial, schema)
@@ -122,10 +148,24 @@ def repeats_filter(hashed: DataFrame, blocks: int, fan_in: int = 64) -> dict[int
 
 def split_repeats(df: DataFrame, *, key: str = "record_id", fields: tuple[str, ...] = ("question", "answer"), max_bits: int = 27) -> DataFrame:
     """(key, d1, d2, maybe): maybe is false only for records that surely have no copy. Cut, ready to be used twice."""
-    hashed = cut(digests(df, key, fields))
-    need = max(hashed.count() * 16, BLOCK_BITS)
-    blocks = max(1, min(1 << max_bits, 1 << (need - 1).bit_length()) // BLOCK_BITS)
-    shared = df.sparkSession.sparkContext.broadcast(repeats_filter(hashed, blocks))
+    count = df.count()
+    ranges = max(1, -(-count * 16 >> max_bits))
+    hashed = digests(df, key, fields)
+    if ranges == 1:
+        return _marked(cut(hashed), max(1, count), max_bits)
+    root = f"{shared_folder(df.sparkSession)}/digests-{uuid.uuid4().hex}"
+    hashed.withColumn("range", F.pmod(F.shiftright("d2", 8), F.lit(ranges)).cast("int")).write.partitionBy("range").parquet(root)
+    rows = df.sparkSession.read.schema(f"`{key}` {dict(df.dtypes)[key]}, d1 long, d2 long, range int").parquet(root)
+    out: DataFrame | None = None
+    for r in range(ranges):
+        part = _marked(rows.filter(F.col("range") == r).drop("range"), -(-count // ranges), max_bits)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def _marked(hashed: DataFrame, count: int, max_bits: int) -> DataFrame:
+    blocks = max(1, min(1 << max_bits, 1 << (count * 16 - 1).bit_length()) // BLOCK_BITS)
+    shared = hashed.sparkSession.sparkContext.broadcast(repeats_filter(hashed, blocks))
 
     @F.pandas_udf("boolean")
     def maybe(d1: pd.Series, d2: pd.Series) -> pd.Series:
@@ -138,7 +178,9 @@ def split_repeats(df: DataFrame, *, key: str = "record_id", fields: tuple[str, .
                 hit[own] = ((again[at >> np.uint64(3)] >> (7 - (at & np.uint64(7)).astype("u1"))) & 1).all(0)
         return pd.Series(hit)
 
-    return cut(hashed.withColumn("maybe", maybe("d1", "d2")))
+    done = cut(hashed.withColumn("maybe", maybe("d1", "d2")))
+    shared.unpersist()
+    return done
 
 
 def collapse_copies(df: DataFrame, *, key: str = "record_id", fields: tuple[str, ...] = ("question", "answer"), max_bits: int = 27) -> DataFrame:

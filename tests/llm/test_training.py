@@ -213,6 +213,8 @@ def test_copies(frame):
     once = formatdup.collapse_copies(df).collect()
     assert len(once) == len(groups) and sum(r.copies for r in once) == len(rows) and len({r.group_id for r in once}) == len(once)
     assert {(r.group_id, r.record_id) for r in formatdup.copy_groups(df, max_bits=20).collect()} == want
+    assert {(r.group_id, r.record_id) for r in formatdup.copy_groups(df, max_bits=10).collect()} == want  # five ranges, each with its own filter
+    assert sorted(map(tuple, formatdup.collapse_copies(df, max_bits=10).collect())) == sorted(map(tuple, once))
     assert formatdup.collapse_copies(df.filter("false")).count() == 0
 
 
