@@ -2,7 +2,7 @@
 
 The corpus is cut into shards of bounded size where it lies, without moving texts. Each shard has an inverted
 index with BM25 weights; document frequencies and the mean length are those of the whole corpus, counted in a
-pass before. The largest unused document is the seed of a container; its unused neighbours that fit are taken by
+pass before, in a table of fixed size. The largest unused document is the seed of a container; its unused neighbours that fit are taken by
 score until the container is full or none is left that shares a term, and what space is left takes the largest
 documents that still fit. Only a document above the capacity is split: into full containers and a rest that is packed
 like a document. Containers that a shard could not fill are opened again and packed across shards by size.
@@ -50,20 +50,26 @@ def tokenize(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return docs, terms, np.bincount(docs, minlength=len(texts))
 
 
+#: Cells of the table of document frequencies: one for each ideograph, the others shared by words. 4 bytes each, 16 MB.
+HAN_CELLS, CELLS = 1 << 15, 1 << 22
+
+
+def cells(terms: np.ndarray) -> np.ndarray:
+    """The cell of each term. Words that meet in one cell count together, which lowers their weight a little."""
+    word = HAN_CELLS + ((terms.astype("u8") * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(20)).astype("i8") % (CELLS - HAN_CELLS)
+    return np.where(terms < 1 << 62, terms - 0x4E00, word)
+
+
 @dataclass(frozen=True)
 class Corpus:
-    """Documents, mean length, and the document frequency of each term that stands in more than one; others have 1."""
+    """Documents, mean length, and the document frequencies of all terms in a table of fixed size."""
 
     n: int
     mean: float
-    terms: np.ndarray
     df: np.ndarray
 
     def frequency(self, terms: np.ndarray) -> np.ndarray:
-        if not len(self.terms):
-            return np.ones(len(terms), "i8")
-        at = np.minimum(np.searchsorted(self.terms, terms), len(self.terms) - 1)
-        return np.where(self.terms[at] == terms, self.df[at], 1)
+        return np.maximum(self.df[cells(terms)], 1).astype("i8")
 
 
 class Shard:
@@ -154,19 +160,23 @@ def pack_shard(name: str, ids: list, texts: list[str], capacity: int, least_fill
 
 
 def count_corpus(df: DataFrame, text: str, shards: Callable) -> Corpus:
-    """One pass over all texts. Terms of a single document stay off the driver; they need no entry."""
+    """One pass over all texts; what reaches the driver is bounded by the cells of the table."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total, n, tokens = np.zeros(CELLS, "i8"), 0, 0
         for _, texts in shards((b.assign(_k=0) for b in batches), "_k", text):
             docs, terms, counts = tokenize(texts)
-            names, term = np.unique(terms, return_inverse=True)
-            held = np.bincount(np.unique(term.astype("i8") * len(texts) + docs) // len(texts), minlength=len(names))
-            yield pd.DataFrame({"term": np.append(names, [-1, -2]), "n": np.append(held, [len(texts), counts.sum()])})
-
-    rows = df.select(text).mapInPandas(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).filter("n > 1 or term < 0").toPandas().sort_values("term")
-    terms, n = rows["term"].to_numpy("i8"), rows["n"].to_numpy("i8")
-    total, tokens = int(n[terms == -1].sum()), int(n[terms == -2].sum())
-    return Corpus(total, tokens / max(1, total), terms[terms >= 0], n[terms >= 0])
+            np.add.at(total, np.unique(cells(terms) * len(texts) + docs) // len(texts), 1)
+            n, tokens = n + len(texts), tokens + int(counts.sum())
+        on = np.flatnonzero(total)
+        yield pd.DataFrame({"cell": np.append(on, [-1, -2]), "n": np.append(total[on], [n, tokens])})
+
+    rows = df.select(text).mapInPandas(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    at, n = rows["cell"].to_numpy("i8"), rows["n"].to_numpy("i8")
+    total, tokens = int(n[at == -1].sum()), int(n[at == -2].sum())
+    table = np.zeros(CELLS, "u4")
+    table[at[at >= 0]] = np.minimum(n[at >= 0], 2**32 - 1)
+    return Corpus(total, tokens / max(1, total), table)
 
 
 def pack_documents(

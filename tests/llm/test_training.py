@@ -424,3 +424,16 @@ def test_token_index_loses_no_form_within_the_slips():
             allowed = canonical.slips(max(len(f), len(w)))
             if canonical.tokens(f) & canonical.tokens(w) and canonical.edits(w, f, allowed) <= allowed:
                 assert f in near
+
+
+def test_containers_keep_to_a_topic_from_first_to_last():
+    """Share of the commonest topic in containers, early and late: neighbours must not run out while related texts are left."""
+    rng = random.Random(28)
+    topics = [[chr(0x5000 + 200 * t + i) for i in range(200)] for t in range(6)]
+    texts = ["".join(rng.choice(topics[i % 6]) if rng.random() < 0.7 else rng.choice(HAN) for _ in range(rng.randint(20, 120))) for i in range(600)]
+    docs, terms, sizes = packing.tokenize(texts)
+    held = packing.fill_containers(sizes, 512, packing.Shard(docs, terms, len(texts)), np.arange(len(texts)))
+    purity = [max(np.bincount([i % 6 for i in c])) / len(c) for c in held if len(c) > 2]
+    k = len(purity) // 3
+    assert np.mean(purity[:k]) > 0.95 and np.mean(purity[k : 2 * k]) > 0.95 and np.mean(purity[2 * k :]) > 0.75
+    assert np.mean([sizes[c].sum() / 512 for c in held]) > 0.97
