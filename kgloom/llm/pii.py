@@ -78,7 +78,7 @@ _NO_FIRST = frozenset("As The A An Compare Dried Take When On No Do Season Physi
 _EN_BEFORE = re.compile(r"(?:Patient:|signed by|As|by|Mr\.?|Mrs\.?|Ms\.?|Dr\.?|Dear|name:|Name:|from|witness)\s+$")
 _EN_AFTER = re.compile(r"\s*(?:recalled|said|wrote|reported|told|asked|signed|came|paid)\b")
 
-_PHONE_CUE = re.compile(r"(电话|手机|留号|联系|拨|致电|传真|来电|Tel|Phone|Call|Mobile|Fax|Contact|tel|phone|call)[：:. （(]*$")
+_PHONE_CUE = re.compile(r"(电话|手机|座机|热线|短信|留号|联系|拨打?|致电|传真|来电|Tel|Phone|Call|Mobile|Fax|Contact|tel|phone|call)[：:. （(]*$")
 _ID_CUE = re.compile(r"(身份证号?码?|身份号码为?|证件号?码?|护照(或证件)?号?码?|护照|Identity no\.|Document shown|Passport( no\.)?|ID( no\.)?|identity (no|number)\.?|passport)[：: （(为]*$", re.I)
 _ADDRESS_CUE = re.compile(r"(地址|住址|家住|现寓|寓居|住在|住|送至|寄至|寄往|寓|Resident at|went to|lives at|Address:?|address:?|living at|at|to)[：: ]*$")
 _MAIL_CUE = re.compile(r"(电邮|邮箱|邮件|信至|请寄|发往|Write to|Contact|E-?mail|Email|mail)[：: ]*$", re.I)
@@ -248,21 +248,30 @@ def before_letter(left: str) -> bool:
     return left[-1:].isascii() and left[-1:].isalpha()
 
 
-def train(texts: list[str], seed_step: int = 5) -> dict[str, Boosted]:
-    """One model a type from weakly labelled spans; every fifth text is held out for calibration."""
-    rows: dict[str, list[tuple[list[float], int, bool]]] = {t: [] for t in TYPES}
-    for i, text in enumerate([*texts, *LESSONS]):
+def labelled_spans(texts: list[str]) -> list[tuple[int, str, list[float], int]]:
+    """(text, type, features, label) of the spans on which the narrow rules are sure."""
+    out = []
+    for i, text in enumerate(texts):
         plain = flat(text)
-        for s in candidates(text, plain):
-            if (y := weak_label(plain, s)) is not None:
-                rows[s.kind].append((features(plain, s), y, i % seed_step == 0 and i < len(texts)))
+        out += [(i, s.kind, features(plain, s), y) for s in candidates(text, plain) if (y := weak_label(plain, s)) is not None]
+    return out
+
+
+def fitted(rows: list[tuple[str, list[float], int, bool]]) -> dict[str, Boosted]:
+    """One model a type from spans (type, features, label, held out); held-out ones calibrate it."""
     out = {}
-    for kind, data in rows.items():
-        x, y, held = np.array([r[0] for r in data], float), np.array([r[1] for r in data], float), np.array([r[2] for r in data], bool)
+    for kind in TYPES:
+        data = [r for r in rows if r[0] == kind]
+        x, y, held = np.array([r[1] for r in data], float), np.array([r[2] for r in data], float), np.array([r[3] for r in data], bool)
         out[kind] = Boosted().fit(x[~held], y[~held]).calibrate(x[held], y[held])
     return out
 
 
+def train(texts: list[str], seed_step: int = 5) -> dict[str, Boosted]:
+    """Models from weakly labelled spans of some texts and of the own sentences; every fifth text is held out for calibration."""
+    return fitted([(k, f, y, i % seed_step == 0) for i, k, f, y in labelled_spans(texts)] + [(k, f, y, False) for _, k, f, y in labelled_spans(list(LESSONS))])
+
+
 #: Own sentences, so that a sample without some type still teaches it.
 LESSONS = tuple(
     text
@@ -312,18 +321,28 @@ class Finder:
         return [sorted(x, key=lambda y: y[0].start) for x in out]
 
 
-def trained_finder(docs: DataFrame, *, key: str = "doc_id", text: str = "text", train_rows: int = 3000, train_chars: int = 5000) -> Finder:
-    """A finder trained on at most ``train_rows`` documents, the first in the order of a hash of the key.
+def trained_finder(docs: DataFrame, *, key: str = "doc_id", text: str = "text", train_rows: int = 3000) -> Finder:
+    """A finder trained on at most ``train_rows`` whole documents, the first in the order of a hash of the key.
 
     Hashes above a cutoff, which leaves half as many rows again as are wanted, are dropped at the scan, so that what
-    reaches the driver doesn't grow with the number of tasks. Only training bounds its texts to ``train_chars``
-    characters; finding always reads whole texts.
+    reaches the driver doesn't grow with the number of tasks: hashes first, then labelled spans, never texts.
     """
     total = docs.count()
     low = -(2**63) + int(2**64 * min(1.0, 1.5 * train_rows / max(1, total)))
-    hashed = docs.filter(F.xxhash64(key) <= F.lit(min(low, 2**63 - 1)))
-    sample = hashed.select(key, F.substring(text, 1, train_chars).alias(text)).filter(F.col(text) != "").orderBy(F.xxhash64(key), key).limit(train_rows)
-    return Finder(train([r[1] for r in sample.collect()]))
+    hashed = docs.select(key, text, F.xxhash64(key).alias("_h")).filter(F.col("_h") <= F.lit(min(low, 2**63 - 1)))
+    last = hashed.select("_h").orderBy("_h").limit(train_rows).agg(F.max("_h")).first()[0]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            held = (b["_h"] % 5 == 0).tolist()
+            rows = [(k, f, y, held[i]) for i, k, f, y in labelled_spans([t or "" for t in b[text]])]
+            yield pd.DataFrame(rows, columns=["kind", "features", "label", "held"])
+
+    rows: list = []
+    if last is not None:
+        rows = [tuple(r) for r in hashed.filter(F.col("_h") <= last).mapInPandas(run, "kind string, features array<double>, label int, held boolean").collect()]
+    rows.sort(key=lambda r: (r[0], r[1], r[2]))  # the order of tasks doesn't matter
+    return Finder(fitted(rows + [(k, f, y, False) for _, k, f, y in labelled_spans(list(LESSONS))]))
 
 
 def find_pii(docs: DataFrame, *, key: str = "doc_id", text: str = "text", finder: Finder | None = None, **bounds: int) -> DataFrame:
