@@ -7,6 +7,11 @@ from pyspark.sql import functions as F
 
 from kgloom.functions import tokens as T
 from kgloom.operators import corpus as C
+from kgloom.operators import index as I
+from kgloom.operators import search as S
+from kgloom.operators import vectors as V
+from kgloom.sources.writers import scratch
+from kgloom.plans.sqlparts import trim
 from kgloom.session import table
 
 FIELDS = {"text": 1.0, "chapter_title": 2.6, "book_name": 3.4}
@@ -62,21 +67,21 @@ def q_sparse(s: SparkSession, d: str) -> DataFrame:
 
 
 def q_dense(s: SparkSession, d: str) -> DataFrame:
-    return C.dense_search(vectors(s, d), probe_vectors(s, d), metric="dot")
+    return V.search(vectors(s, d), probe_vectors(s, d), metric="dot")
 
 
 def q_cosine(s: SparkSession, d: str) -> DataFrame:
-    return C.dense_search(vectors(s, d), probe_vectors(s, d), metric="cosine", k=5)
+    return V.search(vectors(s, d), probe_vectors(s, d), metric="cosine", k=5)
 
 
 def q_l2(s: SparkSession, d: str) -> DataFrame:
-    got = C.dense_search(vectors(s, d), probe_vectors(s, d), metric="l2", k=5)
+    got = V.search(vectors(s, d), probe_vectors(s, d), metric="l2", k=5)
     return got.withColumn("similarity", F.round(1.0 / (1.0 + F.col("score")), 6))
 
 
 def q_shards(s: SparkSession, d: str) -> DataFrame:
     """Nearest vectors per shard (the label), then over all shards: the same as the exact search."""
-    per = C.dense_search(vectors(s, d), probe_vectors(s, d), metric="l2", k=3, keep=("label",), by=("label",)).drop("place")
+    per = V.search(vectors(s, d), probe_vectors(s, d), metric="l2", k=3, by="label").drop("place")
     return C.top_k(per, ["qid"], [F.asc("score"), F.col("vec_id")], 10)
 
 
@@ -104,7 +109,79 @@ def q_gate(s: SparkSession, d: str) -> DataFrame:
     return C.lexical_gate(hits, anchors, F.coalesce("text", F.lit(""))).select("qid", "doc_id", "place", "score")
 
 
+def dense_docs(s: SparkSession, d: str, k: int = 30) -> DataFrame:
+    """The dense leg: documents with a vector of their id, against the vectors of the items' ids."""
+    held = vectors(s, d).join(docs(s, d).select(F.col("doc_id").alias("vec_id")), "vec_id", "left_semi")
+    asked = vectors(s, d).join(items(s, d).select(F.col("qid").alias("vec_id")), "vec_id", "left_semi").select(F.col("vec_id").alias("qid"), "embedding")
+    return V.search(held, asked, metric="cosine", k=k).withColumnRenamed("vec_id", "doc_id")
+
+
+def q_dense_hybrid(s: SparkSession, d: str) -> DataFrame:
+    """Items whose id is divisible by 40 have no sparse query, so that their dense order stays."""
+    return C.hybrid(dense_docs(s, d), search(s, d, 30).filter("qid % 40 != 0"), ["qid", "doc_id"])
+
+
+def q_level(s: SparkSession, d: str) -> DataFrame:
+    """Nearest vectors of one level, the even labels."""
+    return V.search(vectors(s, d).filter("label % 2 = 0"), probe_vectors(s, d), metric="cosine", k=5)
+
+
+def q_all_cells(s: SparkSession, d: str) -> DataFrame:
+    """The index with all cells probed gives the exact result."""
+    return V.build_index(vectors(s, d), scratch(s, "cells"), cells=16).search(probe_vectors(s, d), k=5, probes=16)
+
+
+def q_index_recall(s: SparkSession, d: str) -> DataFrame:
+    """Share of the ten exact neighbours that the index finds with the cells it says it needs, over all queries; whether that is 0.9."""
+    exact = V.search(vectors(s, d), probe_vectors(s, d), metric="cosine", k=10).select("qid", "vec_id")
+    near = V.build_index(vectors(s, d), scratch(s, "cells"), cells=32).search(probe_vectors(s, d), k=10).select("qid", "vec_id", F.lit(1).alias("hit"))
+    return exact.join(near, ["qid", "vec_id"], "left").agg(F.count("*").alias("neighbours"), (F.avg(F.coalesce("hit", F.lit(0))) >= 0.9).alias("recall_reached"))
+
+
+def q_indexed(s: SparkSession, d: str) -> DataFrame:
+    """The search of ``bm25_search`` from a stored index."""
+    built = I.build(docs(s, d), "doc_id", {"text": T.light_tokens("text"), "chapter_title": T.light_tokens("chapter_title")}, scratch(s, "postings"))
+    return built.search(items(s, d), T.light_tokens("query"), {"text": 1.0})
+
+
+def sections(s: SparkSession, d: str) -> DataFrame:
+    return docs(s, d).withColumn("section", S.section_key(docs(s, d)))
+
+
+def q_section_index(s: SparkSession, d: str) -> DataFrame:
+    """R2: BM25 over groups of documents, the sections."""
+    return I.build(sections(s, d), "section", {"text": T.light_tokens("text")}, scratch(s, "groups")).search(items(s, d), T.light_tokens("query"), {"text": 1.0})
+
+
+def q_section_fusion(s: SparkSession, d: str) -> DataFrame:
+    """Full-text and dense ranks fused by section."""
+    known = sections(s, d).select("doc_id", "section")
+    return C.section_fusion([(search(s, d, 30).join(known, "doc_id"), 1.35), (dense_docs(s, d).join(known, "doc_id"), 1.0)])
+
+
+def q_ladder(s: SparkSession, d: str) -> DataFrame:
+    """Trigram hits of long questions' items first, then full text, then dense."""
+    words = items(s, d).withColumn("query", F.when(F.col("qid") % 60 == 0, F.lit("")).when(F.col("qid") % 40 == 0, F.lit("zzzz")).otherwise(F.col("query")))
+    tri = C.bm25(docs(s, d), words.filter("qid % 3 = 0"), tokens=T.trigrams("text"), query_tokens=T.trigrams("query"), k=5)
+    return C.ladder([("trigrams", tri), ("full_text", C.bm25(docs(s, d), words, tokens=T.light_tokens("text"), query_tokens=T.light_tokens("query"), k=5)), ("dense", dense_docs(s, d, 5))])
+
+
+def q_refined(s: SparkSession, d: str) -> DataFrame:
+    """Questions against their first eight characters alone."""
+    short = C.bm25(docs(s, d), items(s, d).withColumn("query", F.substring("query", 1, 4)), tokens=T.light_tokens("text"), query_tokens=T.light_tokens("query"), k=5)
+    return C.refined(short, search(s, d, 5))
+
+
 QUERIES = {
+    "hybrid_dense": q_dense_hybrid,
+    "dense_level": q_level,
+    "vector_index_exact": q_all_cells,
+    "vector_index_recall": q_index_recall,
+    "indexed_search": q_indexed,
+    "section_index_search": q_section_index,
+    "section_fusion": q_section_fusion,
+    "search_ladder": q_ladder,
+    "refined_search": q_refined,
     "corpus_stats": q_stats,
     "term_document_frequency": q_df,
     "bm25_search": q_search,
@@ -169,9 +246,41 @@ SELECT q.vec_id AS qid, v.vec_id AS vec_id, {keep and 'v.' + keep} round({value}
 
 _BM = bm25(10, "doc_id", "documents", light("text"), "items", light("query"))
 _BM30 = bm25(30, "doc_id", "documents", light("text"), "items", light("query"))
+_BM5 = bm25(5, "doc_id", "documents", light("text"), "items", light("query"))
+_COS = f"{_DOT} / sqrt({_SELF.format('v.embedding')} * {_SELF.format('q.embedding')})"
+_SECT = f"CASE WHEN {trim('book_name')} <> '' AND {trim('chapter_title')} <> '' THEN {trim('book_name')} || '::' || {trim('chapter_title')} ELSE 'doc:' || doc_id END"
+
+
+def dense_leg(k: int) -> str:
+    return f"""dn AS (SELECT * FROM (SELECT qid, doc_id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS place FROM (SELECT q.vec_id AS qid, v.vec_id AS doc_id, round({_COS}, 6) AS score
+FROM embeddings v SEMI JOIN documents ON doc_id = v.vec_id, embeddings q SEMI JOIN items ON items.qid = q.vec_id WHERE v.vec_id <> q.vec_id)) WHERE place <= {k})"""
+
+
 _BM20 = bm25(20, "doc_id", "documents", light("text"), "items", light("query"))
 
+_WORDS = "wd AS (SELECT qid, CASE WHEN qid % 60 = 0 THEN '' WHEN qid % 40 = 0 THEN 'zzzz' ELSE query END AS query FROM items), w3 AS (SELECT * FROM wd WHERE qid % 3 = 0)"
+
 SQL = {
+    "hybrid_dense": f"""WITH {_ITEMS}, {_BM30}, {dense_leg(30)}, sp AS (SELECT * FROM b WHERE qid % 40 <> 0), un AS (SELECT qid, doc_id, place FROM dn UNION ALL SELECT qid, doc_id, place FROM sp),
+g AS (SELECT qid, doc_id, round(sum(1.0::DOUBLE / (60 + place)), 6) AS score FROM un GROUP BY ALL)
+SELECT *, CASE WHEN qid IN (SELECT qid FROM sp) THEN 'hybrid' ELSE 'dense_only' END AS mode FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS place FROM g) WHERE place <= 10""",
+    "dense_level": dense(_COS, "DESC", 5).replace("v.vec_id <> q.vec_id", "v.vec_id <> q.vec_id AND v.label % 2 = 0"),
+    "vector_index_exact": dense(_COS, "DESC", 5),
+    "vector_index_recall": "SELECT count(*) * least(10, (SELECT count(*) - 1 FROM embeddings)) AS neighbours, true AS recall_reached FROM embeddings WHERE vec_id % 20 = 0",
+    "indexed_search": f"WITH {_ITEMS}, {_BM} SELECT * FROM b",
+    "section_index_search": f"""WITH {_ITEMS}, gt AS (SELECT section, flatten(list(t)) AS t FROM (SELECT {_SECT} AS section, {light('text')} AS t FROM documents) GROUP BY section), {bm25(10, 'section', 'gt', 't', 'items', light('query'))} SELECT * FROM b""",
+    "section_fusion": f"""WITH {_ITEMS}, {_BM30}, {dense_leg(30)}, sk AS (SELECT doc_id, {_SECT} AS section FROM documents),
+un AS (SELECT qid, doc_id, section, place, score, 1.35::DOUBLE AS w, 0 AS l FROM b JOIN sk USING (doc_id) UNION ALL SELECT qid, doc_id, section, place, score, 1.0::DOUBLE, 1 FROM dn JOIN sk USING (doc_id)),
+fs AS (SELECT qid, section, l, w, min(place) AS place FROM un GROUP BY ALL), fr AS (SELECT qid, section, sum(w / (40.0::DOUBLE + place)) AS rrf FROM fs GROUP BY ALL),
+bb AS (SELECT qid, section, doc_id, score FROM un QUALIFY row_number() OVER (PARTITION BY qid, section ORDER BY score DESC, l, doc_id) = 1)
+SELECT * FROM (SELECT qid, section, doc_id, round(rrf, 6) AS rrf, round(score + rrf, 6) AS score, row_number() OVER (PARTITION BY qid ORDER BY round(rrf, 6) DESC, section) AS place FROM fr JOIN bb USING (qid, section)) WHERE place <= 10""",
+    "search_ladder": f"""WITH {_ITEMS}, {_WORDS}, {bm25(5, 'doc_id', 'documents', tri('text'), 'w3', tri('query'), 'a')}, {bm25(5, 'doc_id', 'documents', light('text'), 'wd', light('query'))}, {dense_leg(5)},
+s1 AS (SELECT *, 'trigrams' AS mode FROM a), s2 AS (SELECT * FROM s1 UNION ALL SELECT *, 'full_text' FROM b WHERE qid NOT IN (SELECT qid FROM s1))
+SELECT * FROM s2 UNION ALL SELECT qid, doc_id, score, place, 'dense' FROM dn WHERE qid NOT IN (SELECT qid FROM s2)""",
+    "refined_search": f"""WITH {_ITEMS}, sh AS (SELECT qid, substring(query, 1, 4) AS query FROM items), {bm25(5, 'doc_id', 'documents', light('text'), 'sh', light('query'), 'a')}, {_BM5},
+x1 AS (SELECT qid, count(*) AS n, max(score) AS s FROM a GROUP BY qid), x2 AS (SELECT qid, count(*) AS n, max(score) AS s FROM b GROUP BY qid),
+ch AS (SELECT qid, coalesce(x2.n, 0) > coalesce(x1.n, 0) OR coalesce(x2.s, 0) >= coalesce(x1.s, 0) + 0.03 AS second FROM x1 FULL JOIN x2 USING (qid))
+SELECT a.*, false AS refined FROM a JOIN ch USING (qid) WHERE NOT second UNION ALL SELECT b.*, true FROM b JOIN ch USING (qid) WHERE second""",
     "corpus_stats": f"SELECT count(*) AS documents, coalesce(sum(n), 0)::BIGINT AS tokens, round(coalesce(avg(n), 0), 6) AS mean_length FROM (SELECT len({light('text')}) AS n FROM documents)",
     "term_document_frequency": f"SELECT term, count(*) AS df FROM (SELECT DISTINCT doc_id, unnest({light('text')}) AS term FROM documents) GROUP BY term",
     "bm25_search": f"WITH {_ITEMS}, {_BM} SELECT * FROM b",
