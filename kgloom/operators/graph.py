@@ -114,7 +114,7 @@ def shortest_paths(pairs: DataFrame, near: DataFrame, limit: int = 5) -> DataFra
     shortest paths and leave before the next level grows. Paths have no cycle. Score: 1 / hops + 0.05 for each of
     up to three source books.
     """
-    step = near.select("anchor", "target", F.col("source_book").alias("book"))
+    step = cut(near.select("anchor", "target", F.col("source_book").alias("book")))  # read five times
     last = pairs.join(step, pairs["finish"] == step["target"]).select("qid", F.col("anchor").alias("node"), F.col("book").alias("last_book"))
     level = pairs.filter("start != finish").select("qid", "start", "finish", F.col("start").alias("node"), F.array("start").alias("nodes"), F.array().cast("array<string>").alias("books"))
     found: DataFrame | None = None

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -222,8 +224,13 @@ def build_index(vectors: DataFrame, root: str, *, key: str = "vec_id", metric: s
 
 def hashed_embedding(text: Column, dims: int = 64) -> Column:
     """A fixed stand-in for an embedding: signed counts of the text's tokens in ``dims`` places, of unit length; null and empty texts are zero."""
-    tokens = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[一-鿿]|[a-z0-9]+"), F.lit(0))
-    places = F.transform(tokens, lambda t: F.struct(F.pmod(F.xxhash64(t), F.lit(dims)).cast("int").alias("p"), F.when(F.pmod(F.crc32(t), F.lit(2)) == 0, 1.0).otherwise(-1.0).alias("s")))
-    raw = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.aggregate(F.filter(places, lambda x: x["p"] == i), F.lit(0.0), lambda a, x: a + x["s"]))
-    size = F.sqrt(F.aggregate(raw, F.lit(0.0), lambda a, x: a + x * x))
-    return F.transform(raw, lambda x: F.when(size > 0, x / size).otherwise(0.0))
+
+    @F.pandas_udf("array<double>")
+    def run(texts: pd.Series) -> pd.Series:
+        out = np.zeros((len(texts), dims))
+        for i, t in enumerate(texts):
+            codes = np.array([zlib.crc32(w.encode()) for w in re.findall("[一-鿿]|[a-z0-9]+", (t or "").lower())], "i8")
+            np.add.at(out[i], codes % dims, np.where(codes >> 16 & 1, 1.0, -1.0))
+        return pd.Series(list(unit(out)))
+
+    return run(text)
