@@ -43,7 +43,10 @@ _PHONES = (
     re.compile(rf"(?<![\d\-.])(?:\+?\d{{1,3}}[ \-.]?)?(?:\(\d{{3}}\)|\d{{3}})[ \-.]?\d{{3}}[ \-.]\d{{4}}(?![\d\-]|\.\d){_TAIL}"),
     re.compile(rf"(?<![\d\-.+])\d{{3,4}}[ \-.]\d{{4}}(?![\d\-]|\.\d){_TAIL}"),
     re.compile(rf"(?<![\d\-.])\+?\d{{7,13}}(?![\d\-]|\.\d){_TAIL}"),
+    re.compile(rf"(?<![\d\-.])\+\d{{1,3}}(?:[ \-.]\(?\d{{1,4}}\)?){{2,5}}(?![\d\-]|\.\d){_TAIL}"),
 )
+#: Numbers that are phones by their form alone: mobile ones, those with an area code, and international ones.
+_FULL_PHONE = re.compile(rf"(?:(?:\+?86[ \-]?)?1[3-9]\d([ \-.]?)\d{{4}}\1\d{{4}}|(?:\(0\d{{2,3}}\)|0\d{{2,3}})[ \-]?\d{{3,4}}[ \-]?\d{{4}}|\+\d{{1,3}}(?:[ \-.]\(?\d{{1,4}}\)?){{2,5}}){_TAIL}")
 _IDS = (
     re.compile(r"(?<![\d\-A-Za-z])\d{6}([ \-]?)\d{8}\1\d{3}[\dXx](?![\dA-Za-z\-])"),
     re.compile(r"(?<![\d\-A-Za-z])\d{6}([ \-]?)\d{8}\1\d{3}[\dXx](?![\d\-])"),
@@ -183,6 +186,10 @@ def _surname(s: str) -> int:
     return 2 if s[:2] in COMPOUND_SURNAMES else 1 if s[:1] in SINGLE_SURNAMES else 0
 
 
+#: Place of the phone cue among the features.
+CUE_AT = 12
+
+
 def features(plain: str, s: Span) -> list[float]:
     """Format and context of a span, as numbers."""
     t, left, right = plain[s.start : s.end], plain[max(0, s.start - 16) : s.start], plain[s.end : s.end + 12]
@@ -221,7 +228,7 @@ def weak_label(plain: str, s: Span) -> int | None:
             return 0
         if t[:1] != "+" and re.search(r"\+\d{1,3}[ \-]?$", left):
             return 0
-        return 1 if _PHONE_CUE.search(left) else None
+        return 1 if _PHONE_CUE.search(left) or _FULL_PHONE.fullmatch(t) else None
     if s.kind == "id_number":
         if _OTHER_CUE.search(left) or _UNIT_AFTER.match(right) or len(digits) > 18:
             return 0
@@ -249,11 +256,20 @@ def before_letter(left: str) -> bool:
 
 
 def labelled_spans(texts: list[str]) -> list[tuple[int, str, list[float], int]]:
-    """(text, type, features, label) of the spans on which the narrow rules are sure."""
+    """(text, type, features, label) of the spans on which the narrow rules are sure.
+
+    A number that is a phone by its form comes once more without its cue: where every phone of a sample has one, the
+    trees would learn nothing else.
+    """
     out = []
     for i, text in enumerate(texts):
         plain = flat(text)
-        out += [(i, s.kind, features(plain, s), y) for s in candidates(text, plain) if (y := weak_label(plain, s)) is not None]
+        for s in candidates(text, plain):
+            if (y := weak_label(plain, s)) is not None:
+                row = features(plain, s)
+                out.append((i, s.kind, row, y))
+                if y and s.kind == "phone" and row[CUE_AT] and _FULL_PHONE.fullmatch(plain, s.start, s.end):
+                    out.append((i, s.kind, [*row[:CUE_AT], 0.0, *row[CUE_AT + 1 :]], y))
     return out
 
 

@@ -1,4 +1,9 @@
-"""Problem 1 on pairs that neither the functions nor the cutoffs were made with."""
+"""Problem 1 on pairs that did not choose the cutoffs.
+
+REFUSALS met the recall asked for at the first run. The votes on brackets and joining words and the length of stand-ins
+were amended after first runs on BROKEN (20 of 23) and SOUND, so that these are no longer held out. UNTOUCHED was
+written after the last change and measured once; its figures are asserted as they came, good or not.
+"""
 
 from kgloom.llm import pairs
 
@@ -79,3 +84,22 @@ def test_end_cells_match_single_ends():
     assert {pairs.cell(x) for x in ("桂", "枝", "汤", "桂枝", "枝汤", "take", "it", "a", "1")} <= set(held)
     assert held[pairs.cell("it")] and not held[pairs.cell("take")] and held[pairs.cell("1")]
     assert pairs.end_cells([])[0].size == 0
+
+
+UNTOUCHED = {
+    "truncated": ["桂枝汤主之，每日服", "以当归12g与川芎", "宜于饭后半个时辰温服，若汗出不", "此方见《金匮要略", "白芍10g、甘草6g；加", "服药期间避风寒并", "Boil it twice and then add", "芍药9g（酒炒"],
+    "empty": ["--", "（无内容）", "暂缺", "？", "nil", "<p></p>"],
+    "copied_question": ["此方应如何服用", "Q：此方应如何服用？", "您问的是：此方应如何服用？"],
+    "other_language": ["On le boit tiède le matin, puis on évite le froid pendant deux jours.", "Bevilo caldo la sera e poi riposa per tre giorni.", "Uống ấm vào buổi tối rồi nghỉ ngơi trong ba ngày.", "温かいうちに飲み、その後は体を冷やさないようにしてください。"],
+    "refusal": ["实在抱歉，此事我帮不了您。", "这类用药问题我不能下结论，请您就诊。", "很遗憾，规则不允许我谈这个。", "本助手无从判断，望另询名医。", "I'm sorry, that's not something I can talk about.", "My guidelines prevent me from advising on this.", "No comment.", "对不起，恕我不答。"],
+}
+
+
+def test_untouched_pairs(frame):
+    """As measured in a corpus of four sentences: all empty, copied, foreign and refusing answers, but only 4 of 8 truncated ones, and 2 of 4 sound ones are called truncated."""
+    ask = "此方应如何服用？"
+    sound = ["温服，日二次", "饭后服100ml，忌辛辣。", "每服9g，姜汤送下", "分三次服，3日为度"]
+    got = found(frame, [("qa", f"{d}-{i}", ask, a) for d, answers in UNTOUCHED.items() for i, a in enumerate(answers)] + [("qa", f"sound-{i}", ask, a) for i, a in enumerate(sound)])
+    hits = {d: sum((f"{d}-{i}", d) in got for i in range(len(answers))) for d, answers in UNTOUCHED.items()}
+    assert hits["truncated"] >= 4 and all(hits[d] == len(UNTOUCHED[d]) for d in UNTOUCHED if d != "truncated")
+    assert sum(r.startswith("sound") for r, _ in got) <= 2

@@ -1,4 +1,9 @@
-"""Problem 10 on sentences labelled by hand that neither the rules nor the trees were made with: figures by type.
+"""Problem 10 on sentences labelled by hand: figures by type.
+
+How far each set was used matters for its figures. Phone cues were added after a first run on GOLD (3 of 5 phones), and
+the copies of phones without cues after runs on SEEN (2 of 12 phones before, 12 of 12 after), so that these two are
+no longer held out. UNTOUCHED was written before that last change and measured once after it: 5 of 6 phones, and
+two numbers of other kinds taken for phones. Nothing was changed after that.
 
 A span counts as found if type and text are exactly right. Names with a cue beside them and names without one are
 told apart: the generators propose a Chinese name only beside a cue, so that the figure for uncued ones is low and
@@ -51,6 +56,52 @@ GOLD = (
     ("Warm Draught and Golden Powder are older names.", []),
     ("张仲景论曰：太阳病，发热汗出。", []),
 )
+SEEN = (
+    ("取药请先致电药房 13698765432 确认。", [("phone", "13698765432")]),
+    ("传真：0755-26781234。", [("phone", "0755-26781234")]),
+    ("微信同号15012349876，可留言。", [("phone", "15012349876")]),
+    ("Reach the dispensary on +44 20 7946 0958 until five.", [("phone", "+44 20 7946 0958")]),
+    ("夜间值班 028-85551234 转 3。", [("phone", "028-85551234 转 3")]),
+    ("样本编号13800-2204，共重 1580 克。", []),
+    ("稿件请投 editor.fang@press.example。", [("email", "editor.fang@press.example")]),
+    ("Questions go to m_ortega [at] lab [dot] example.", [("email", "m_ortega [at] lab [dot] example")]),
+    ("登记身份证为510107197211084523。", [("id_number", "510107197211084523")]),
+    ("His passport, G61234567, had expired.", [("id_number", "G61234567")]),
+    ("寄到南京市鼓楼区汉口路22号。", [("address", "南京市鼓楼区汉口路22号")]),
+    ("他搬到白石镇柳巷9号去了。", [("address", "白石镇柳巷9号")]),
+    ("She lives at 41 Harbour Street, Linton.", [("address", "41 Harbour Street, Linton")]),
+    ("签名：徐慧敏。", [("name", "徐慧敏")]),
+    ("患者：司马志远，六十岁。", [("name", "司马志远")]),
+    ("经手人 邓文斌；", [("name", "邓文斌")]),
+    ("Dear Dr. Irene Calloway, the powder arrived.", [("name", "Irene Calloway")]),
+    ("马春燕下午来换药。", [("name?", "马春燕")]),
+    ("当归、川芎、白芍各二钱。", []),
+    ("南京路旧时多药行。", []),
+    ("家人的号码是 17755668899，晚间可打。", [("phone", "17755668899")]),
+    ("药铺 0312-5566778 有人值守。", [("phone", "0312-5566778")]),
+    ("若发热即拨 13322114455 询问。", [("phone", "13322114455")]),
+    ("Ring us at +1 212 555 0147 any weekday.", [("phone", "+1 212 555 0147")]),
+    ("The pharmacist answers on +61 2 9876 5432.", [("phone", "+61 2 9876 5432")]),
+    ("总机 (0571) 8765 4321，请报姓氏。", [("phone", "(0571) 8765 4321")]),
+    ("有事找他 186-5566-7788。", [("phone", "186-5566-7788")]),
+    ("批次 20240317，检验号 7781-2290。", []),
+    ("卷宗第 13500 号，共 11 册，计 86400 字。", []),
+    ("刻本序号 13812345678901，残。", []),
+    ("日期 2023-11-05，页 0123-4567。", []),
+)
+UNTOUCHED = (
+    ("侄儿的手头是 15577889900，常在外地。", [("phone", "15577889900")]),
+    ("铺面 0451-8877665 已改号。", [("phone", "0451-8877665")]),
+    ("夜里可找 199 3344 5566。", [("phone", "199 3344 5566")]),
+    ("Leave word at +49 30 901820 before noon.", [("phone", "+49 30 901820")]),
+    ("门房 (029) 8123-4567 代收。", [("phone", "(029) 8123-4567")]),
+    ("掌柜留下 13144556677 便走了。", [("phone", "13144556677")]),
+    ("药价合计 13500 文，另 2788 文未付。", []),
+    ("档号 0123-4567890 一册。", []),
+    ("库存编号 15812345678，勿动。", []),
+    ("全书 186000 字，分 24 卷。", []),
+    ("经纬 0571-2024 不可考。", []),
+)
 LEAST = {"phone": 0.8, "email": 0.9, "id_number": 0.75, "address": 0.6, "name": 0.75}
 
 
@@ -83,3 +134,11 @@ def test_figures_by_type(found):
 
 def test_sentences_without_personal_information_stay(found):
     assert [(t, [t[s.start : s.end] for s, _ in got]) for (t, want), got in zip(GOLD, found, strict=True) if not want and got] == []
+
+
+def test_untouched_phones():
+    """As measured: 5 of 6 found, 2 wrong. A change that lowers this is a step back; one that raises it by looking at it is no figure."""
+    spans = pii.Finder(pii.train([])).spans([t for t, _ in UNTOUCHED])
+    said = {(t, t[s.start : s.end]) for (t, _), got in zip(UNTOUCHED, spans, strict=True) for s, _ in got if s.kind == "phone"}
+    want = {(t, x) for t, spans in UNTOUCHED for _, x in spans}
+    assert len(said & want) >= 5 and len(said - want) <= 2
