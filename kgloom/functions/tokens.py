@@ -1,4 +1,4 @@
-"""Tokenizers and term builders as column expressions (survey X8-X13, X22, X31, X32, X38, U7, U10-U12)."""
+"""Tokenizers and term builders as column expressions."""
 
 from __future__ import annotations
 
@@ -40,7 +40,7 @@ def adjacent_pairs(tokens: Column, least: int = 3, most: int = 12, numeric: bool
 
 
 def probe_terms(c: Column | str, most: int = 8) -> Column:
-    """Distinct runs of 2-12 ideographs or 2-32 alphanumerics, the longest first, then by text; else the first 12 characters."""
+    """Distinct runs of 2-12 ideographs or 2-32 alphanumerics, the longest first, then by text; else the first 12 characters."""
     text = F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))
     runs = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"[一-鿿]{2,12}|[a-z0-9]{2,32}"), F.lit(0)))
     best = F.slice(F.transform(F.array_sort(F.transform(runs, lambda r: F.struct((-F.length(r)).alias("n"), r.alias("r")))), lambda x: x["r"]), 1, most)
@@ -76,6 +76,12 @@ def collapse_contained(terms: Column) -> Column:
     return F.filter(terms, lambda x, i: ~F.exists(F.slice(terms, F.lit(1), i), lambda y: y.contains(x) & (y != x)))
 
 
+def triple_key(*columns: str) -> Column:
+    """Columns in lower case, without white space and with plain marks, joined by '|'; null is ''."""
+    plain = lambda c: F.regexp_replace(F.translate(F.lower(F.coalesce(F.col(c), F.lit(""))), "，；：（）", ",;:()"), r"(?U)\s+", "")
+    return F.concat_ws("|", *map(plain, columns))
+
+
 def snippet(c: Column | str, limit: int = 160) -> Column:
     """Stripped text cut to ``limit`` characters; null is ''."""
     return F.substring(F.regexp_replace(F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit("")), r"(?U)^\s+|\s+$", ""), 1, limit)

@@ -1,4 +1,4 @@
-"""Retrieval metrics, significance and score reports (survey A26, A29-A35, A39, A41, E1-E4, E7-E20, M3-M5, X33-X34)."""
+"""Retrieval metrics, significance and score reports."""
 
 from __future__ import annotations
 
@@ -26,6 +26,15 @@ def ir_metrics(hits: DataFrame, relevant: DataFrame, queries: DataFrame, k: int,
     return full.select(qkey, F.coalesce("hit_1", F.lit(0)).alias("hit_1"), F.coalesce("hit_k", F.lit(0)).alias("hit_k"), F.round(F.coalesce("rr", F.lit(0.0)), 6).alias("rr"), F.round(F.coalesce("ndcg", F.lit(0.0)), 6).alias("ndcg"))
 
 
+def ablations(conditions: dict[str, DataFrame], relevant: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """Of each named condition, a list of hits, the means of the metrics over all queries."""
+    out: DataFrame | None = None
+    for name, hits in conditions.items():
+        m = ir_metrics(hits, relevant, queries, k).agg(F.count("*").alias("cases"), *(F.round(F.avg(c), 6).alias(c) for c in ("hit_1", "hit_k", "rr", "ndcg"))).withColumn("condition", F.lit(name))
+        out = m if out is None else out.unionByName(m)
+    return out
+
+
 def sign_test(wins: Column, losses: Column) -> Column:
     """M5: two-sided exact sign test; 1 without any difference.
 

@@ -1,4 +1,4 @@
-"""Evidence items of all sources in one schema, their coverage, routing and source resolution (survey A38, J18, J21-J22, Q1, Q4, Q9, Q15, T14, U6, X14, X40-X43, Y9)."""
+"""Evidence items of all sources in one schema, their coverage, routing and source resolution."""
 
 from __future__ import annotations
 

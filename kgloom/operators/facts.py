@@ -1,4 +1,4 @@
-"""The fact store: merging, best evidence, upserts, entities, deletion and snapshot deltas (survey A1-A7, J1-J8, K5-K7, K16)."""
+"""The fact store: merging, best evidence, upserts, entities, deletion and snapshot deltas."""
 
 from __future__ import annotations
 
@@ -13,7 +13,7 @@ KEY = ["subject", "predicate", "object", "source_book", "source_chapter"]
 
 
 def clean_facts(facts: DataFrame) -> DataFrame:
-    """Facts with stripped text columns (null is '') and ``ids``, the fact ids that a row carries, in order."""
+    """Facts with stripped text columns (null is '') and ``ids``, the fact ids that a row carries, in order."""
     text = [*KEY, "subject_type", "object_type", "dataset_scope", "fact_id"]
     listed = F.filter(F.transform(F.split(F.coalesce("fact_ids_text", F.lit("")), r"[|\x1f]"), norm), lambda x: x != "")
     out = facts.withColumns({c: norm(c) for c in text})
@@ -131,8 +131,27 @@ def insert_or_ignore(existing: DataFrame, incoming: DataFrame, key: str = "fact_
     return fresh.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(seq))).filter("_n = 1").drop("_n")
 
 
+def delete_rows(facts: DataFrame, rows: DataFrame, names: DataFrame | None = None) -> DataFrame:
+    """K9: facts without the given edges (five-field key), and without all edges at the given names (name)."""
+    left = facts.join(rows.select(*KEY).distinct(), KEY, "left_anti")
+    if names is None:
+        return left
+    gone = names.select("name").distinct()
+    return left.join(gone, F.col("subject") == F.col("name"), "left_anti").join(gone, F.col("object") == F.col("name"), "left_anti")
+
+
+def restricted(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """Rows whose key is among the given ones, each row once."""
+    return rows.join(keys.select(key).distinct(), key, "left_semi")
+
+
+def group_count(rows: DataFrame, by: list[str]) -> DataFrame:
+    """A2: one row with the number of groups; rows with a null key form groups, too."""
+    return rows.select(*by).distinct().agg(F.count("*").alias("groups"))
+
+
 def delete_books(facts: DataFrame, evidence: DataFrame, books: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Remaining facts, remaining evidence, and names that no fact mentions any more."""
+    """Remaining facts, remaining evidence, and names that no fact mentions any more."""
     left = facts.filter(~F.col("source_book").isin(*books))
     carried = left.select(F.explode("ids").alias("fid")).distinct()
     proof = evidence.withColumn("fid", norm("fact_id")).join(carried, "fid", "left_semi").drop("fid")

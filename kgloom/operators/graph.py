@@ -1,4 +1,4 @@
-"""Traversals over the fact graph and the alias graph (survey G1, G7-G18, G22, A15, A27, J9-J11, J20, T1, T3, T9)."""
+"""Traversals over the fact graph and the alias graph."""
 
 from __future__ import annotations
 

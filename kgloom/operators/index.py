@@ -1,4 +1,4 @@
-"""A stored inverted index: postings by term, lengths by document, read by searches in place of the texts (survey J3, K11, R2, R32, R36 on the functions)."""
+"""A stored inverted index: postings by term, lengths by document, read by searches in place of the texts."""
 
 from __future__ import annotations
 

@@ -1,4 +1,4 @@
-"""Structured question records, schedules, logs and event sequences (survey S14-S16, U9, W5-W9, X28-X30, A25, A28, A36, A40, A42, ST2-ST5, T11)."""
+"""Structured question records, schedules, logs and event sequences."""
 
 from __future__ import annotations
 

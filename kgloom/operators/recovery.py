@@ -1,4 +1,4 @@
-"""Recovery of structured rows from model output, and greedy selection (survey N1-N4, R29)."""
+"""Recovery of structured rows from model output, and greedy selection."""
 
 from __future__ import annotations
 

@@ -1,4 +1,4 @@
-"""Relations of an entity: projection, clustering, fusion, neighbours, diversification (survey F1-F5, A8, W1, W3, G3-G6, T2)."""
+"""Relations of an entity: projection, clustering, fusion, neighbours, diversification."""
 
 from __future__ import annotations
 

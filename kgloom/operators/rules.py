@@ -1,4 +1,4 @@
-"""Ordered decision lists and rule tables (survey F6, F8-F13, F20, F24-F26, X4-X7, X14, X29, X35, X44)."""
+"""Ordered decision lists and rule tables."""
 
 from __future__ import annotations
 
@@ -62,7 +62,7 @@ def closure(seeds: Sequence[str], members: dict[str, Sequence[str]]) -> list[str
 
 
 def top_examples(rows: DataFrame, by: list[str], order: list[Column], n: int) -> DataFrame:
-    """The n first rows of each group as ``example``."""
+    """The n first rows of each group as ``example``."""
     return rows.withColumn("example", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col("example") <= n)
 
 

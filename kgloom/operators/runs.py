@@ -171,3 +171,9 @@ def envelope(results: Column, empty_code: int) -> Column:
 def tuned_k(intent: Column, k: Column, least: dict[str, int]) -> Column:
     """At least so many results for an intent."""
     return F.greatest(k, decide([(intent == i, str(n)) for i, n in least.items()], "0").cast("int"))
+
+
+def rotation(tasks: DataFrame, order: str, weights: dict[str, int]) -> DataFrame:
+    """ST9: tasks given to providers in turn, each as often a round as its weight; a task's number decides, so that no state is kept."""
+    seats = [name for name, w in weights.items() for _ in range(w)]
+    return tasks.withColumn("provider", F.get(F.array(*map(F.lit, seats)), F.pmod(F.col(order), F.lit(len(seats))).cast("int")))

@@ -1,4 +1,4 @@
-"""Books to sections, paragraphs, chunks and navigation groups (survey Y1-Y7, A22-A24, R10, R34, X24-X26, X36, M6)."""
+"""Books to sections, paragraphs, chunks and navigation groups."""
 
 from __future__ import annotations
 

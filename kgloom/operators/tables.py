@@ -1,4 +1,4 @@
-"""Joins of reference tables, labelled texts, option lists and small reports (survey A46, A47, E10, E11, E18, E20, J13, Q2, X37, Y8)."""
+"""Joins of reference tables, labelled texts, option lists and small reports."""
 
 from __future__ import annotations
 

@@ -172,7 +172,18 @@ def q_refined(s: SparkSession, d: str) -> DataFrame:
     return C.refined(short, search(s, d, 5))
 
 
+def q_parents_of(s: SparkSession, d: str) -> DataFrame:
+    named = docs(s, d).select(F.concat_ws("::", "book_name", "source").alias("parent"), "text").groupBy("parent").agg(F.md5(F.coalesce(F.min("text"), F.lit(""))).alias("text"))
+    return C.with_parents(q_merge(s, d), named).select("qid", "unit", "place", "text")
+
+
+def q_chunks_of(s: SparkSession, d: str) -> DataFrame:
+    return S.as_chunks(search(s, d, 5), docs(s, d), size=40)
+
+
 QUERIES = {
+    "merged_parents": q_parents_of,
+    "search_chunks": q_chunks_of,
     "hybrid_dense": q_dense_hybrid,
     "dense_level": q_level,
     "vector_index_exact": q_all_cells,
@@ -261,6 +272,12 @@ _BM20 = bm25(20, "doc_id", "documents", light("text"), "items", light("query"))
 _WORDS = "wd AS (SELECT qid, CASE WHEN qid % 60 = 0 THEN '' WHEN qid % 40 = 0 THEN 'zzzz' ELSE query END AS query FROM items), w3 AS (SELECT * FROM wd WHERE qid % 3 = 0)"
 
 SQL = {
+    "merged_parents": f"""WITH {_ITEMS}, {_BM20}, k AS (SELECT qid, b.doc_id, score, concat_ws('::', book_name, source) AS parent FROM b JOIN documents USING (doc_id)), c AS (SELECT *, count(parent) OVER (PARTITION BY qid, parent) AS n FROM k),
+g AS (SELECT qid, CASE WHEN parent IS NOT NULL AND n >= 2 THEN 'p:' || parent ELSE 'd:' || doc_id END AS unit, max(score) AS score FROM c GROUP BY ALL), pt AS (SELECT 'p:' || concat_ws('::', book_name, source) AS unit, md5(coalesce(min(text), '')) AS text FROM documents GROUP BY 1)
+SELECT qid, unit, row_number() OVER (PARTITION BY qid ORDER BY score DESC, unit) AS place, text FROM g LEFT JOIN pt USING (unit)""",
+    "search_chunks": f"""WITH {_ITEMS}, {_BM5}, x AS (SELECT qid, place, doc_id, regexp_replace(trim(coalesce(book_name, '')), '^[0-9]+\\s*[-_－—]\\s*', '') AS book, trim(coalesce(chapter_title, '')) AS t, text, score FROM b JOIN documents USING (doc_id)),
+y AS (SELECT *, CASE WHEN t = '' OR t = book THEN '' WHEN book <> '' AND starts_with(t, book) THEN regexp_replace(substring(t, length(book) + 1), '^[\\s·:：/_\\-—]+', '') ELSE t END AS chapter FROM x)
+SELECT qid, place, doc_id, book, chapter, CASE WHEN book = '' THEN '' WHEN chapter = '' THEN 'book://' || book ELSE 'chapter://' || book || '/' || chapter END AS path, substring(regexp_replace(coalesce(text, ''), '^[\\s\\x{{00a0}}\\x{{3000}}]+|[\\s\\x{{00a0}}\\x{{3000}}]+$', '', 'g'), 1, 40) AS text, score FROM y""",
     "hybrid_dense": f"""WITH {_ITEMS}, {_BM30}, {dense_leg(30)}, sp AS (SELECT * FROM b WHERE qid % 40 <> 0), un AS (SELECT qid, doc_id, place FROM dn UNION ALL SELECT qid, doc_id, place FROM sp),
 g AS (SELECT qid, doc_id, round(sum(1.0::DOUBLE / (60 + place)), 6) AS score FROM un GROUP BY ALL)
 SELECT *, CASE WHEN qid IN (SELECT qid FROM sp) THEN 'hybrid' ELSE 'dense_only' END AS mode FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS place FROM g) WHERE place <= 10""",

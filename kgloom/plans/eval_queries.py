@@ -124,7 +124,13 @@ def q_done(s: SparkSession, d: str) -> DataFrame:
     return Q.done_groups(t, t.filter("length(text_chunk) <= 1500"), "book_name", ["book_name", "sequence"])
 
 
+def q_ablations(s: SparkSession, d: str) -> DataFrame:
+    other = C.bm25_fields(docs(s, d), items(s, d), FIELDS, query_tokens=T.light_tokens("query"))
+    return E.ablations({"text": search(s, d), "fields": other}, relevant(s, d), items(s, d), 10)
+
+
 QUERIES = {
+    "ablations": q_ablations,
     "ir_metrics": q_metrics,
     "paired_comparison": q_paired,
     "bootstrap_interval": q_bootstrap,
@@ -164,6 +170,8 @@ c AS (SELECT *, ('0x' || substring(sha1(subject), 1, 12))::BIGINT % 10 AS h FROM
 _SYM = "coalesce(CASE WHEN symptom_text <> '' THEN from_json(symptom_text, '[\"VARCHAR\"]') END, [])"
 
 SQL = {
+    "ablations": f"WITH {_ITEMS}, {_BM}, {fields(10)}, {_GOLD}, {_ir('b', 'x')}, {_ir('m', 'y')} "
+    + " UNION ALL ".join(f"SELECT '{n}' AS condition, count(*) AS cases, round(avg(hit_1), 6) AS hit_1, round(avg(hit_k), 6) AS hit_k, round(avg(rr), 6) AS rr, round(avg(ndcg), 6) AS ndcg FROM {t}" for n, t in (("text", "x"), ("fields", "y"))),
     "ir_metrics": f"WITH {_ITEMS}, {_BM}, {_GOLD}, {_ir('b', 'x')} SELECT * FROM x",
     "paired_comparison": f"""WITH {_ITEMS}, {_BM}, {fields(10)}, {_GOLD}, {_ir('b', 'x')}, {_ir('m', 'y')}, u AS ({_PAIR}),
 a AS (SELECT metric, count(*) AS cases, avg(l) AS lm, avg(r) AS rm, count(*) FILTER (l > r) AS wins, count(*) FILTER (l < r) AS losses, count(*) FILTER (l = r) AS ties FROM u GROUP BY metric)

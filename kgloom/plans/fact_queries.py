@@ -141,11 +141,13 @@ def q_neighbours(s: SparkSession, d: str) -> DataFrame:
 
 
 def q_adjacent(s: SparkSession, d: str) -> DataFrame:
+    """Names next to each name, both ways, without repeats."""
     f = facts(s, d).filter("subject != '' and object != ''")
     return f.select(F.col("subject").alias("name"), F.col("object").alias("other")).union(f.select("object", "subject")).distinct().groupBy("name").agg(F.count("*").alias("neighbours"))
 
 
 def q_books(s: SparkSession, d: str) -> DataFrame:
+    """books by a word of their name, without regard to case."""
     return facts(s, d).filter(F.lower("source_book").contains("方")).groupBy("source_book").agg(F.count("*").alias("n"), F.countDistinct("subject").alias("subjects"))
 
 

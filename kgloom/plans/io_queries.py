@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kgloom.functions.text import norm
+from kgloom.operators import facts as O
 from kgloom.plans.fact_queries import facts
 from kgloom.plans.sqlparts import F as CF
 from kgloom.plans.sqlparts import trim
@@ -118,7 +119,52 @@ def stream_path(d: str) -> str:
     return f"{d}/events.parquet"
 
 
+def q_graph(s: SparkSession, d: str) -> DataFrame:
+    path = W.scratch(s, "graph")
+    W.write_graph(facts(s, d), path)
+    return s.read.schema(", ".join(f"{c} string" for c in W.GRAPH_COLUMNS)).json(path).groupBy(*W.GRAPH_COLUMNS).agg(F.count("*").alias("n"))
+
+
+def q_attached(s: SparkSession, d: str) -> DataFrame:
+    f = facts(s, d).select("row_id", "source_book")
+    return R.attached(f, f.filter("row_id % 3 = 0").drop("source_book")).groupBy("store").agg(F.count("*").alias("n"), F.count("source_book").alias("with_book"))
+
+
+def q_discovered(s: SparkSession, d: str) -> DataFrame:
+    q = table(s, d, "qa_records")
+    names = q.select(F.col("collection").alias("id"), F.col("collection").alias("name")).distinct()
+    parts = q.select("collection", F.when(F.col("bucket") == "formula_qa", "VECTOR").otherwise("METADATA").alias("scope"), F.col("embedding_id").alias("segment"))
+    return R.discovered(names, parts, "qa_", 2)
+
+
+def q_delete_rows(s: SparkSession, d: str) -> DataFrame:
+    f = facts(s, d)
+    return O.delete_rows(f, f.filter("row_id % 7 = 0"), f.filter("row_id % 50 = 0").select(F.col("object").alias("name"))).select("row_id")
+
+
+def q_restricted(s: SparkSession, d: str) -> DataFrame:
+    m = table(s, d, "fact_members")
+    return O.restricted(m, m.filter("linked_at is null"), "signature").groupBy("signature").agg(F.count("*").alias("n"))
+
+
+def q_group_count(s: SparkSession, d: str) -> DataFrame:
+    return O.group_count(facts(s, d), ["subject", "predicate"])
+
+
+def q_tail(s: SparkSession, d: str) -> DataFrame:
+    e = table(s, d, "events").select("event_id", "event_type")
+    got = P.tailed(s, [e.filter("event_id % 3 = 0"), e.filter("event_id % 3 = 1"), e.filter("event_id % 3 = 2")])
+    return got.groupBy("batch").agg(F.count("*").alias("n"), F.countDistinct("event_id").alias("events"))
+
+
 QUERIES = {
+    "io_graph_rows": q_graph,
+    "attached_stores": q_attached,
+    "collection_discovery": q_discovered,
+    "delete_rows": q_delete_rows,
+    "restricted_members": q_restricted,
+    "group_count": q_group_count,
+    "stream_tail": q_tail,
     "io_jsonl": q_jsonl,
     "io_json_array": q_array,
     "io_jsonl_lenient": q_lenient,
@@ -147,6 +193,14 @@ _ROWS = f"SELECT {', '.join(COLS)} FROM facts"
 _Q = "'\"' || regexp_replace(replace(replace({0}, '\\', '\\\\'), '\"', '\\\"'), '[\\r\\n]+', ' ', 'g') || '\"'"
 _VID = "'\"ent_' || sha1({0}) || '\"'"
 SQL = {
+    "io_graph_rows": f"WITH {CF} SELECT subject, predicate, object, subject_type, object_type, source_book, source_chapter, count(*) AS n FROM f GROUP BY ALL",
+    "attached_stores": f"WITH {CF} SELECT 'main' AS store, count(*) AS n, count(source_book) AS with_book FROM f UNION ALL SELECT 'backup', count(*) FILTER (row_id % 3 = 0), 0 FROM f",
+    "collection_discovery": "SELECT collection AS id, collection AS name, max(embedding_id) FILTER (bucket = 'formula_qa') AS vector, max(embedding_id) FILTER (bucket IS DISTINCT FROM 'formula_qa') AS metadata FROM qa_records WHERE starts_with(collection, 'qa_') GROUP BY collection ORDER BY name LIMIT 2",
+    "delete_rows": f"""WITH {CF}, g AS (SELECT DISTINCT subject, predicate, object, source_book, source_chapter FROM f WHERE row_id % 7 = 0), n AS (SELECT DISTINCT object AS name FROM f WHERE row_id % 50 = 0)
+SELECT row_id FROM f ANTI JOIN g USING (subject, predicate, object, source_book, source_chapter) WHERE subject NOT IN (SELECT name FROM n) AND object NOT IN (SELECT name FROM n)""",
+    "restricted_members": "SELECT signature, count(*) AS n FROM fact_members WHERE signature IN (SELECT signature FROM fact_members WHERE linked_at IS NULL) GROUP BY signature",
+    "group_count": f"WITH {CF} SELECT count(*) AS groups FROM (SELECT DISTINCT subject, predicate FROM f)",
+    "stream_tail": "SELECT event_id % 3 AS batch, count(*) AS n, count(DISTINCT event_id) AS events FROM events GROUP BY 1",
     "io_jsonl": _ROWS,
     "io_json_array": _ROWS,
     "io_jsonl_lenient": _ROWS,

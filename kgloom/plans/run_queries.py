@@ -208,7 +208,12 @@ def q_numbers(s: SparkSession, d: str) -> DataFrame:
     return e.select("evidence_id", R.confidence(text).alias("confidence"), R.remaining(F.col("evidence_id") % 7, F.lit(9), F.lit(600)).alias("left"))
 
 
+def q_rotation(s: SparkSession, d: str) -> DataFrame:
+    return R.rotation(table(s, d, "chunk_tasks").select("sequence"), "sequence", {"one": 3, "two": 1})
+
+
 QUERIES = {
+    "provider_rotation": q_rotation,
     "benchmark_candidates": q_candidates,
     "question_groups": q_groups,
     "capped_selection": q_capped,
@@ -270,6 +275,7 @@ _LOG = "lg AS (SELECT user_id % 50 AS job, event_id AS seq, ts, CASE event_type
 _READ = "(trim(source_chapter) <> '' AND trim(source_chapter) <> source_book AND NOT regexp_matches(trim(source_chapter), '^[0-9_\\-]+$') AND NOT regexp_matches(trim(source_chapter), '^(chunk|part|section)[-_0-9]*$'))"
 
 SQL = {
+    "provider_rotation": "SELECT sequence, CASE WHEN sequence % 4 = 3 THEN 'two' ELSE 'one' END AS provider FROM chunk_tasks",
     "benchmark_candidates": f"WITH {CF} SELECT row_id FROM f WHERE {_name('subject')} AND {_name('object')} AND subject <> object AND source_book <> '' AND coalesce(best_confidence, 0) >= 0.9 AND {_clean('best_source_text', 10, 160, 0.5, chr(91) + r'\[\]{}<>|\\' + chr(93))} AND contains(best_source_text, object)",
     "question_groups": f"WITH {CF}, {_GROUPS} SELECT * EXCLUDE (h), CASE WHEN h = 0 THEN 'debug' WHEN h <= 2 THEN 'dev' ELSE 'test' END AS split FROM gs",
     "case_pairs": f"""WITH {CF}, {_GROUPS}, k AS (SELECT *, concat_ws('|', subject, predicate, source_book, source_chapter) AS k FROM gr)

@@ -91,6 +91,7 @@ def q_tiers(s: SparkSession, d: str) -> DataFrame:
 
 
 def q_shortlist(s: SparkSession, d: str) -> DataFrame:
+    """The most frequent combinations of one tier."""
     dirty = tiered(s, d).filter("tier = 'likely_dirty'").groupBy("predicate", "subject_type", "object_type").agg(F.count("*").alias("n"))
     return dirty.orderBy(F.desc("n"), "predicate", "subject_type", "object_type").limit(40)
 
@@ -228,7 +229,13 @@ def q_ids(s: SparkSession, d: str) -> DataFrame:
     return f.select("row_id", F.concat(F.lit("ent_"), F.sha1("subject")).alias("vid"), rank.alias("edge_rank"), F.substring(F.sha1(parts), 1, 16).alias("clean_id"))
 
 
+def q_keys(s: SparkSession, d: str) -> DataFrame:
+    """Triples by their normalised key."""
+    return triples(s, d).groupBy(T.triple_key("subject", "raw_predicate", "object").alias("k")).agg(F.count("*").alias("n"), F.min("triple_id").alias("first"))
+
+
 QUERIES = {
+    "triple_keys": q_keys,
     "document_labels": q_labels,
     "token_statistics": q_tokens,
     "probe_terms": q_terms,
@@ -285,7 +292,12 @@ def _jac(a: str, b: str) -> str:
 
 
 _T = trim
+_PUNCT = "translate(lower(coalesce({0}, '')), '，；：（）', ',;:()')"
+
 SQL = {
+    "triple_keys": "SELECT "
+    + " || '|' || ".join(f"regexp_replace({_PUNCT.format(c)}, '[\\s\\x{{00a0}}\\x{{3000}}]+', '', 'g')" for c in ("subject", "raw_predicate", "object"))
+    + " AS k, count(*) AS n, min(triple_id) AS first FROM triple_records GROUP BY 1",
     "document_labels": rf"""SELECT doc_id, regexp_replace(trim(coalesce(book_name, '')), '^[0-9]+\s*[-_－—]\s*', '') AS book,
 CASE WHEN trim(coalesce(chapter_title, '')) = '' OR trim(chapter_title) = coalesce(book_name, '') THEN ''
   WHEN coalesce(book_name, '') <> '' AND starts_with(trim(chapter_title), book_name) THEN regexp_replace(substring(trim(chapter_title), length(book_name) + 1), '^[\s·:：/_\-—]+', '') ELSE trim(chapter_title) END AS chapter,

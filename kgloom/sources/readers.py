@@ -1,7 +1,13 @@
-"""Readers (survey S1-S10, S12, S13, S19). Schemas are declared, never inferred; formats are read by Spark's own sources."""
+"""Readers. Schemas are declared, never inferred; formats are read by Spark's own sources."""
 
 from __future__ import annotations
 
+import functools
+import io
+import re
+import zipfile
+from xml.etree import ElementTree
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -89,6 +95,45 @@ def count_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).agg(F.count_if(F.trim("value") != "").alias("lines"))
 
 
+def attached(first: DataFrame, second: DataFrame, names: tuple[str, str] = ("main", "backup")) -> DataFrame:
+    """One table of two stores, each row with the store it is from; columns that one lacks are null."""
+    return first.withColumn("store", F.lit(names[0])).unionByName(second.withColumn("store", F.lit(names[1])), allowMissingColumns=True)
+
+
+def discovered(collections: DataFrame, segments: DataFrame, prefix: str, limit: int) -> DataFrame:
+    """Collections (id, name) whose name begins with the prefix, with their vector and metadata segments (collection, scope, segment), by name."""
+    scope = lambda s: F.max(F.when(F.col("scope") == s, F.col("segment"))).alias(s.lower())
+    held = segments.groupBy("collection").agg(scope("VECTOR"), scope("METADATA"))
+    return collections.filter(F.col("name").startswith(prefix)).join(held, F.col("id") == F.col("collection"), "left").drop("collection").orderBy("name").limit(limit)
+
+
+def read_xlsx(spark: SparkSession, path: str, sheet: int = 1) -> DataFrame:
+    """One sheet of a small workbook as strings, columns by its first row; missing cells are null.
+
+    A workbook is a zip of XML that one task reads whole; it is meant for lists made by hand.
+    """
+    raw = spark.read.format("binaryFile").load(path).select("content").first()[0]
+    main = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+    with zipfile.ZipFile(io.BytesIO(bytes(raw))) as book:
+        text = lambda e: "".join(t.text or "" for t in e.iter(f"{main}t"))
+        shared = [text(e) for e in ElementTree.fromstring(book.read("xl/sharedStrings.xml")).iter(f"{main}si")] if "xl/sharedStrings.xml" in book.namelist() else []
+        rows: list[dict[int, str]] = []
+        for row in ElementTree.fromstring(book.read(f"xl/worksheets/sheet{sheet}.xml")).iter(f"{main}row"):
+            cells: dict[int, str] = {}
+            for c in row.iter(f"{main}c"):
+                letters = re.match("[A-Z]+", c.get("r", "A"))[0]
+                at = functools.reduce(lambda n, x: 26 * n + ord(x) - 64, letters, 0)
+                value = c.find(f"{main}v")
+                kind = c.get("t")
+                found = text(c) if kind == "inlineStr" else None if value is None else shared[int(value.text)] if kind == "s" else value.text
+                if found is not None:
+                    cells[at] = found
+            rows.append(cells)
+    head = rows[0] if rows else {}
+    names = [head[i] for i in sorted(head)]
+    return spark.createDataFrame([tuple(r.get(i) for i in sorted(head)) for r in rows[1:]], ", ".join(f"`{n}` string" for n in names) or "empty string")
+
+
 def latest_rows(rows: DataFrame, key: list[str], seq: str) -> DataFrame:
     """The last row of each key, as an append-only log is read."""
     w = Window.partitionBy(*key).orderBy(F.desc(seq))

@@ -1,4 +1,4 @@
-"""Sinks (survey K1-K5, K8, K10-K15). Publishing is by versions: a written one is switched on by a small pointer."""
+"""Sinks. Publishing is by versions: a written one is switched on by a small pointer."""
 
 from __future__ import annotations
 
@@ -75,7 +75,7 @@ def graph_statements(facts: DataFrame) -> DataFrame:
 
 
 def lexicon(entities: DataFrame) -> DataFrame:
-    """(entity_type, n, first_names): names of each type counted, with the 20 smallest ones."""
+    """(entity_type, n, first_names): names of each type counted, with the 20 smallest ones."""
     one = entities.groupBy("entity_type", "name").agg(F.lit(1).alias("x"))
     few = one.withColumn("k", F.row_number().over(Window.partitionBy("entity_type").orderBy("name"))).filter("k <= 20")
     lists = few.groupBy("entity_type").agg(F.array_join(F.array_sort(F.collect_list("name")), "|").alias("first_names"))
@@ -87,6 +87,15 @@ def write_csv(df: DataFrame, path: str, columns: list[str]) -> None:
     df.select(*columns).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
+#: Columns of a graph file.
+GRAPH_COLUMNS = ["subject", "predicate", "object", "subject_type", "object_type", "source_book", "source_chapter"]
+
+
+def write_graph(facts: DataFrame, path: str) -> None:
+    """K3: the seven columns of graph rows as JSON lines; null is ''."""
+    facts.select(*(F.coalesce(F.col(c), F.lit("")).alias(c) for c in GRAPH_COLUMNS)).write.mode("overwrite").json(path)
+
+
 def append_jsonl(df: DataFrame, path: str) -> None:
     """K4: rows appended as JSON lines."""
     df.write.mode("append").json(path)

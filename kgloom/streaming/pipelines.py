@@ -1,4 +1,4 @@
-"""Incremental processing by Structured Streaming (survey ST1-ST6, ST13-ST17, S20, U9).
+"""Incremental processing by Structured Streaming.
 
 Every pipeline reads files as a stream, keeps its progress in a checkpoint, and runs as far as there is input
 (``availableNow``); the same code runs continuously with another trigger. Sinks are idempotent a batch, so that a
@@ -100,6 +100,16 @@ def pending(spark: SparkSession, path: str, done: DataFrame) -> DataFrame:
     return spark.read.parquet(root).select("event_id", "user_id")
 
 
+def tailed(spark: SparkSession, parts: list[DataFrame]) -> DataFrame:
+    """ST15: JSON lines appended to a log in parts, streamed after each one from where the stream stopped; every line once, with the part it came in."""
+    path, root, progress = scratch(spark, "log"), scratch(spark, "tail"), scratch(spark, "tail-progress")
+    for part in parts:
+        part.write.mode("append").json(path)
+        stream = spark.readStream.schema(parts[0].schema).json(path)
+        run(stream, append_batches(root), progress)
+    return spark.read.parquet(root)
+
+
 def coalesced(spark: SparkSession, path: str, ranks: dict[str, int]) -> DataFrame:
     """ST5: queue entries of one key coalesced; the highest rank of their kinds wins."""
     rank = F.create_map(*[F.lit(x) for p in ranks.items() for x in p])[F.col("event_type")]

@@ -68,3 +68,16 @@ def test_numbers(frame):
     assert [r.c for r in rows] == [0.7, 0.7, 1.0, 0.0, 0.25]
     left = frame([(0, 9, 60), (3, 9, 1800), (9, 9, 60)], "d int, t int, s int").select(runs.remaining(F.col("d"), F.col("t"), F.col("s")).alias("l")).collect()
     assert [r.l for r in left] == ["unknown", "1:00:00", "0:00:00"]
+
+
+def test_workbook(spark, tmp_path):
+    import zipfile
+
+    from kgloom.sources.readers import read_xlsx
+
+    ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    with zipfile.ZipFile(tmp_path / "a.xlsx", "w") as z:
+        z.writestr("xl/sharedStrings.xml", f"<sst {ns}><si><t>题</t></si><si><r><t>答</t></r><r><t>案</t></r></si></sst>")
+        z.writestr("xl/worksheets/sheet1.xml", f'<worksheet {ns}><sheetData><row><c r="A1" t="s"><v>0</v></c><c r="C1" t="s"><v>1</v></c></row><row><c r="A2"><v>3</v></c><c r="B2"><v>9</v></c></row><row><c r="C3" t="inlineStr"><is><t>好</t></is></c></row></sheetData></worksheet>')
+    got = read_xlsx(spark, f"file://{tmp_path}/a.xlsx")
+    assert got.columns == ["题", "答案"] and [tuple(r) for r in got.collect()] == [("3", None), (None, "好")]
