@@ -51,7 +51,8 @@ def cut_points(text: str, limit: int, overlap: int, sizes: list[int] | None = No
 
     ``sizes``: prefix sums of token sizes, one entry more than characters; None counts characters.
     A line break or sentence end in the later half of the new characters is taken first, then one in the first
-    half, and only without any of them another mark or space.
+    half, and only without any of them another mark or space. Every piece ends beyond the one before it and
+    repeats the whole overlap before its new characters, or all there is where that is less.
     """
     n, start, done, out = len(text), 0, 0, []
     total = (lambda i: i) if sizes is None else sizes.__getitem__
@@ -72,8 +73,7 @@ def cut_points(text: str, limit: int, overlap: int, sizes: list[int] | None = No
                 break
         out.append((start, end, kind))
         done = end
-        back = max(0, end - overlap) if sizes is None else bisect_left(sizes, max(0, sizes[end] - overlap))
-        start = max(back, start + 1)
+        start = max(0, end - overlap) if sizes is None else bisect_left(sizes, max(0, sizes[end] - overlap))
 
 
 def split_oversized(
