@@ -73,7 +73,11 @@ class Corpus:
 
 
 class Shard:
-    """Inverted BM25 index of some documents; without ``corpus`` they are all there are."""
+    """Inverted BM25 index of some documents; without ``corpus`` they are all there are.
+
+    Terms of an eighth of the documents or more have their weights in full rows, which add up faster than postings;
+    a shard of bounded text has few of them.
+    """
 
     def __init__(self, docs: np.ndarray, terms: np.ndarray, n: int, corpus: Corpus | None = None) -> None:
         names, term = np.unique(terms, return_inverse=True)
@@ -85,15 +89,24 @@ class Shard:
         idf = np.log((total - df + 0.5) / (df + 0.5) + 1)
         self.start = np.concatenate([[0], np.cumsum(here)])
         self.weight = idf[self.term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[self.doc] / max(mean, 1)))
+        common = np.flatnonzero(here >= max(2, n // 8))
+        self.row = np.full(len(names), -1)
+        self.row[common] = np.arange(len(common))
+        self.full = np.zeros((len(common), n))
+        held = self.row[self.term] >= 0
+        self.full[self.row[self.term[held]], self.doc[held]] = self.weight[held]
         order = np.lexsort((self.term, self.doc))
         self.by_doc, self.doc_start = self.term[order], np.concatenate([[0], np.cumsum(np.bincount(self.doc, minlength=n))])
 
     def scores(self, seed: int) -> np.ndarray:
         """BM25 of all documents for the terms of the seed."""
         picked = self.by_doc[self.doc_start[seed] : self.doc_start[seed + 1]]
+        rows = self.row[picked]
+        total = self.full[rows[rows >= 0]].sum(0)
+        picked = picked[rows < 0]
         size = self.start[picked + 1] - self.start[picked]
         at = np.arange(size.sum()) + np.repeat(self.start[picked] - np.cumsum(size) + size, size)
-        return np.bincount(self.doc[at], self.weight[at], self.n)
+        return total + np.bincount(self.doc[at], self.weight[at], self.n)
 
 
 class BySize:
