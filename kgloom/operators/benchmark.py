@@ -30,7 +30,8 @@ def capped(rows: DataFrame, order: str, caps: Mapping[str, int]) -> DataFrame:
 
     Caps act on each other, so that rows are decided in rounds: one is refused once a value is used up by taken rows before
     it, and taken once all undecided rows before it could not use one up. Every round decides at least the first
-    undecided row, most decide nearly all. ``order`` must be total; rows with null values have those values, too.
+    undecided row, most decide nearly all. ``order`` must be total; rows with null values have those values, too. The
+    rows of one value are passed in order by one task, which keeps sums only.
     """
     state = cut(rows.withColumn("taken", F.lit(None).cast("boolean")))
     while True:
