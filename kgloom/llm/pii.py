@@ -47,6 +47,8 @@ _PHONES = (
 )
 #: Numbers that are phones by their form alone: mobile ones, those with an area code, and international ones.
 _FULL_PHONE = re.compile(rf"(?:(?:\+?86[ \-]?)?1[3-9]\d([ \-.]?)\d{{4}}\1\d{{4}}|(?:\(0\d{{2,3}}\)|0\d{{2,3}})[ \-]?\d{{3,4}}[ \-]?\d{{4}}|\+\d{{1,3}}(?:[ \-.]\(?\d{{1,4}}\)?){{2,5}}){_TAIL}")
+#: A digit and a separator in front: the number is the rest of a longer one.
+_GOES_ON = re.compile(r"\d[ \-]$")
 _IDS = (
     re.compile(r"(?<![\d\-A-Za-z])\d{6}([ \-]?)\d{8}\1\d{3}[\dXx](?![\dA-Za-z\-])"),
     re.compile(r"(?<![\d\-A-Za-z])\d{6}([ \-]?)\d{8}\1\d{3}[\dXx](?![\d\-])"),
@@ -201,7 +203,7 @@ def features(plain: str, s: Span) -> list[float]:
         own = [float(bool(re.search(_DOT, t))), len(re.findall(_DOT, t)), float("@" in t), float(bool(re.search(r"[A-Za-z]{2,}$", t)))]
     elif s.kind == "phone":
         groups = [len(g) for g in re.findall(r"\d+", t)]
-        own = [float(digits[:1] == "1"), float(digits[:1] == "0"), float("转" in t or "ext" in t), len(groups), groups[0] if groups else 0, groups[-1] if groups else 0, float(bool(re.match(r"(86)?1[3-9]\d{9}$", digits))), float(_date_like(digits))]
+        own = [float(digits[:1] == "1"), float(digits[:1] == "0"), float("转" in t or "ext" in t), len(groups), groups[0] if groups else 0, groups[-1] if groups else 0, float(bool(re.match(r"(86)?1[3-9]\d{9}$", digits))), float(_date_like(digits)), float(bool(_GOES_ON.search(left))), float(bool(_FULL_PHONE.fullmatch(t)))]
     elif s.kind == "id_number":
         own = [float(_date_like(digits)), float(t[-1:] in "Xx"), float(t[:1].isalpha()), float(len(digits) in (17, 18)), float(len(digits) > 18)]
     elif s.kind == "address":
@@ -224,7 +226,7 @@ def weak_label(plain: str, s: Span) -> int | None:
     if s.kind == "phone":
         if _OTHER_CUE.search(left) or _UNIT_AFTER.match(right) or _ID_CUE.search(left) or before_letter(left):
             return 0
-        if right[:1] == "转":
+        if right[:1] == "转" or _GOES_ON.search(left):
             return 0
         if t[:1] != "+" and re.search(r"\+\d{1,3}[ \-]?$", left):
             return 0
