@@ -60,6 +60,7 @@ _TAG = re.compile(r"<[^<>]{0,20}>")
 _WORD = re.compile(r"[A-Za-zÀ-ɏ']+$")
 #: Words that join what follows, so that no sentence ends with them.
 _DANGLING = re.compile(r"(?:和|与|或|及|跟|并|而|若|因|于|把|被|将|的|\b(?:the|an?|of|and|or|with|at|for|to|in|by))$")
+_BLANKS = re.compile(r"[^\S\n]+")
 _OPENING = re.compile("[（(\\[《〈【“「『]")
 _LATIN, _MARKED, _FOREIGN = re.compile("[A-Za-z]{2}"), re.compile("[：:-]"), re.compile(r"[^\W\d_一-鿿]")
 #: Frequent small words by language.
@@ -236,8 +237,11 @@ class Pair:
 
     @cached_property
     def parts(self) -> int:
-        """Number of differently labelled parts."""
-        return len({m[1] for m in _PART.finditer(self.answer)}) if _MARKED.search(self.answer) else 0
+        """Number of differently labelled parts, with white space or without it, which may stand inside a label or before one."""
+        if not _MARKED.search(self.answer):
+            return 0
+        squeezed = _BLANKS.sub("", self.answer)
+        return max(len({m[1] for m in _PART.finditer(t)}) for t in {self.answer, squeezed})
 
     @cached_property
     def declines(self) -> bool:
