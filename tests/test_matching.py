@@ -25,6 +25,17 @@ def test_scan_by_automaton_and_by_join(spark, frame, most_chars):
     assert sorted(map(tuple, got.collect())) == want
 
 
+def test_scan_of_long_names_beyond_an_automaton(frame, monkeypatch, capsys):
+    """Starts of texts as names: substrings of a text are compared in place, no row is made of each of its characters."""
+    monkeypatch.setattr(matching, "MOST_NAMES", 100)  # several passes
+    texts = [*words(40, 3, 300, 600), "𠀀甲" * 200, "", "甲" * 700]
+    names = sorted({t[a : a + n] for t in texts for a in (0, 7) for n in (1, 2, 3, 17, 64, 100, 220)} - {""})
+    got = matching.scan(frame(list(enumerate(texts)), "k int, t string"), frame([(n,) for n in names], "name string"), "k", "t", 1)
+    assert sorted(map(tuple, got.collect())) == sorted((k, n, t.find(n) + 1) for k, t in enumerate(texts) for n in names if n in t)
+    got.explain()
+    assert "Generate" not in capsys.readouterr().out
+
+
 def test_scan_of_nothing(frame):
     empty = frame([], "name string")
     assert matching.scan(frame([(1, "甲")], "k int, t string"), empty, "k", "t").count() == 0
