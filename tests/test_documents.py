@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from kgloom.operators import cases, documents, paths
+from kgloom.operators import cases, documents, matching, paths
 
 
 def test_paragraph_chunks_keep_whole_paragraphs():
@@ -57,6 +57,17 @@ def test_anchors(frame):
     assert [tuple(r) for r in documents.anchored(found, chunks, "k", "c", "x").collect()] == [(1, 4, 5, 5)]
 
 
+def test_anchors_beyond_an_automaton(frame, monkeypatch, capsys):
+    """The same counts with more anchors than one automaton holds, without a row for each character of a chunk."""
+    monkeypatch.setattr(matching.scan, "__defaults__", (*matching.scan.__defaults__[:-1], 1))
+    found = frame([(1, "head", "乙丙丁"), (1, "tail", "戊己庚"), (2, "head", "甲乙丙"), (3, "head", "丙丁戊")], "k int, at string, snippet string")
+    chunks = frame([(1, "甲乙 丙丁戊"), (2, "乙丙丁甲乙丙"), (3, None), (4, "")], "c int, x string")
+    got = documents.anchored(found, chunks, "k", "c", "x")
+    assert sorted(map(tuple, got.collect())) == [(1, 1, 2, 2), (2, 1, 1, 2), (3, 1, 1, 1)]
+    got.explain()
+    assert "Generate" not in capsys.readouterr().out
+
+
 def test_headers(frame):
     rows = frame([("书名： 甲书\n篇名：\n文", "classic://乙/丙", "x/01-丁.txt", 3), ("文", "classic://乙/丙-01", None, 0), ("", None, "x/01_丁.txt", 7), (None, None, None, None)], "t string, p string, f string, n int")
     got = rows.select(documents.header_book(F.col("t"), F.col("p"), F.col("f")).alias("b"), documents.header_chapter(F.col("t"), F.col("p"), F.col("n")).alias("c")).collect()
