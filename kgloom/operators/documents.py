@@ -145,7 +145,7 @@ def anchors(docs: DataFrame, key: str, text: str, width: int = 24) -> DataFrame:
 
 
 def anchored(found: DataFrame, chunks: DataFrame, key: str, chunk_key: str, text: str) -> DataFrame:
-    """Of each text how many of its anchors stand in some chunk, and in how many chunks."""
+    """Of each text how many of its anchors stand in some chunk, and in how many chunks, which tasks add up for each snippet."""
     squeezed = chunks.select(chunk_key, F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"(?U)\s+", "").alias("t"))
-    hits = scan(squeezed, found.select(F.col("snippet").alias("name")), chunk_key, "t").groupBy(F.col("name").alias("snippet")).agg(F.countDistinct(chunk_key).alias("n"))
+    hits = scan(squeezed, found.select(F.col("snippet").alias("name")), chunk_key, "t", counted=True).withColumnRenamed("name", "snippet")
     return found.join(hits, "snippet", "left").groupBy(key).agg(F.count("n").alias("found"), F.count("*").alias("anchors"), F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("chunks"))

@@ -2,6 +2,7 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from kgloom.operators import cases, documents, matching, paths
@@ -68,6 +69,49 @@ def test_anchors_beyond_an_automaton(frame, monkeypatch, capsys):
     assert "Generate" not in capsys.readouterr().out
 
 
+def records_shuffled(df):
+    """Rows that the shuffles of a frame write, all its rows made."""
+    df.collect()
+
+    def total(node):
+        name, inner = node.nodeName(), node.children()
+        if name.startswith("AdaptiveSparkPlan"):
+            return total(node.executedPlan())
+        if "QueryStage" in name:
+            return total(node.plan())
+        own = node.metrics().get("shuffleRecordsWritten").get().value() if node.metrics().contains("shuffleRecordsWritten") else 0
+        return own + sum(total(inner.apply(i)) for i in range(inner.size()))
+
+    return total(df._jdf.queryExecution().executedPlan())
+
+
+@pytest.mark.parametrize("most_chars", [10_000, 1])
+def test_anchors_in_many_chunks_are_added_up_in_tasks(frame, monkeypatch, most_chars):
+    """Anchors that stand in every chunk leave a task as one row each, not one for each chunk."""
+    monkeypatch.setattr(matching.scan, "__defaults__", (*matching.scan.__defaults__[:-1], most_chars))
+    common = [chr(0x4E00 + 3 * i) + chr(0x4E01 + 3 * i) + chr(0x4E02 + 3 * i) for i in range(30)]
+    found = frame([(i, "head", c) for i, c in enumerate(common)] + [(99, "head", "无此文")], "k int, at string, snippet string")
+    chunks = frame([(i, 1, "".join(common)) for i in range(1000)], "d long, c int, x string").select(F.struct("d", "c").alias("c"), "x")
+    got = documents.anchored(found, chunks, "k", "c", "x")
+    assert sorted(map(tuple, got.collect())) == [(i, 1, 1, 1000) for i in range(30)] + [(99, 0, 1, 0)]
+    assert records_shuffled(got) < 1000
+
+
+@pytest.mark.parametrize("most_chars", [10_000, 1])
+def test_anchors_count_keys_once(frame, monkeypatch, most_chars):
+    """A key that stands in several rows is one chunk, a null key none; the others are counted as they are."""
+    monkeypatch.setattr(matching.scan, "__defaults__", (*matching.scan.__defaults__[:-1], most_chars))
+    rng = random.Random(7)
+    names = ["甲乙", "乙丙", "丙丁", "丁甲", "甲甲"]
+    rows = [(rng.choice([None, *range(60)]), "".join(rng.choice("甲乙丙丁") for _ in range(rng.randint(0, 6)))) for _ in range(90)] + [(61, None), (None, "戊己"), (62, "己庚")]
+    found = frame([(i, "head", n) for i, n in enumerate([*names, "戊己", "己庚", "庚辛"])], "k int, at string, snippet string")
+    want = [(i, int(any(t and n in t for _, t in rows)), 1, len({k for k, t in rows if k is not None and t and n in t})) for i, n in enumerate([*names, "戊己", "己庚", "庚辛"])]
+    for kind in ("int", "string", "struct<a:int,b:int>"):
+        keyed = frame(rows, "c int, x string")
+        key = F.when(F.col("c").isNotNull(), F.struct(F.lit(None).cast("int").alias("a"), F.col("c").alias("b"))) if kind.startswith("struct") else F.col("c").cast(kind)
+        assert sorted(map(tuple, documents.anchored(found, keyed.select(key.alias("c"), "x"), "k", "c", "x").collect())) == want
+
+
 def test_headers(frame):
     rows = frame([("书名： 甲书\n篇名：\n文", "classic://乙/丙", "x/01-丁.txt", 3), ("文", "classic://乙/丙-01", None, 0), ("", None, "x/01_丁.txt", 7), (None, None, None, None)], "t string, p string, f string, n int")
     got = rows.select(documents.header_book(F.col("t"), F.col("p"), F.col("f")).alias("b"), documents.header_chapter(F.col("t"), F.col("p"), F.col("n")).alias("c")).collect()
