@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kgloom.operators import cases, documents, matching, paths
+from kgloom.plans.case_queries import QUERIES
 
 
 def test_paragraph_chunks_keep_whole_paragraphs():
@@ -112,6 +113,14 @@ def test_anchors_count_keys_once(frame, monkeypatch, most_chars):
         assert sorted(map(tuple, documents.anchored(found, keyed.select(key.alias("c"), "x"), "k", "c", "x").collect())) == want
 
 
+def test_anchor_matches_asks_about_every_document(spark, frame, tmp_path):
+    """Whatever its number, each document long enough for an anchor is asked about."""
+    texts = {i: "".join(chr(0x4E00 + 50 * i + j) for j in range(40)) for i in (1, 7, 20, 33)}
+    frame([*texts.items(), (2, texts[1]), (3, "短"), (4, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.found, r.anchors, r.chunks) for r in QUERIES["anchor_matches"](spark, str(tmp_path)).collect()}
+    assert got == {1: (5, 5, 10), 2: (5, 5, 10), 7: (5, 5, 5), 20: (5, 5, 5), 33: (5, 5, 5)}
+
+
 def test_headers(frame):
     rows = frame([("书名： 甲书\n篇名：\n文", "classic://乙/丙", "x/01-丁.txt", 3), ("文", "classic://乙/丙-01", None, 0), ("", None, "x/01_丁.txt", 7), (None, None, None, None)], "t string, p string, f string, n int")
     got = rows.select(documents.header_book(F.col("t"), F.col("p"), F.col("f")).alias("b"), documents.header_chapter(F.col("t"), F.col("p"), F.col("n")).alias("c")).collect()
